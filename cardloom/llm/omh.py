@@ -67,7 +67,7 @@ def _slots(ordered: Column, slots: int, per_slot: int) -> Column:
             F.sequence(F.lit(0), F.least(F.lit(per_slot), size) - 1),
             lambda o: F.struct(F.get(ordered, (start + o) % size)["p"].alias("p"), F.get(ordered, (start + o) % size)["s"].alias("s")),
         )
-        return F.xxhash64(F.transform(F.sort_array(chosen), lambda e: e["s"])).bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.shiftright(F.xxhash64(F.transform(F.sort_array(chosen), lambda e: e["s"])), 32).cast("int")
 
     return F.transform(let(changes, starts), tuple_hash)
 
@@ -88,7 +88,7 @@ def signature(text: Column, k: int = 3, slots: int = 64, per_slot: int = 2) -> C
             lambda i: F.xxhash64(*(F.get(hashes, i + j) for j in range(k))),
         )
         return F.when(count > 0, let(let(kmers, _numbered), lambda o: _slots(o, slots, per_slot))).otherwise(
-            F.array().cast("array<bigint>")
+            F.array().cast("array<int>")
         )
 
     words = nonempty(F.split(F.coalesce(text, F.lit("")), WORD_END))
@@ -103,7 +103,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(signature: Column) -> Column:
-    return F.lower(F.array_join(F.transform(signature, lambda h: F.lpad(F.hex(h), 8, "0")), ""))
+    return F.lower(F.array_join(F.transform(signature, lambda h: F.right(F.lpad(F.hex(h), 8, "0"), F.lit(8))), ""))
 
 
 def fingerprint(df: DataFrame, text_col: str = "text", out: str = "fingerprint", **parameters) -> DataFrame:
