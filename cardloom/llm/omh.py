@@ -103,7 +103,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(signature: Column) -> Column:
-    return F.lower(F.array_join(F.transform(signature, lambda h: F.right(F.lpad(F.hex(h), 8, "0"), F.lit(8))), ""))
+    return F.lower(F.array_join(F.transform(signature, lambda h: F.right(F.lpad(F.hex(h), 16, "0"), F.lit(8))), ""))
 
 
 def fingerprint(df: DataFrame, text_col: str = "text", out: str = "fingerprint", **parameters) -> DataFrame:
