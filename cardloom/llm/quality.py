@@ -11,47 +11,94 @@ labels of a bounded sample. That scorer judges every text.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import fresh, let, materialize, nonempty
+from cardloom.llm.common import fresh, materialize
 
 STATISTICS = ("symbols", "capitals", "repeats", "repeated_lines", "bars", "word_length", "digits")
 FEATURES = 1 << 16
 
 
-def statistics(text: Column) -> Column:
-    """A struct of n_words and :data:`STATISTICS`; null for texts without words."""
-    text = F.coalesce(text, F.lit(""))
-    lines = nonempty(F.split(text, r"\n"))
+#: Kinds of code points in the category table.
+LETTER, CAPITAL, DIGIT, SPACE, SYMBOL, BAR, OTHER = range(7)
 
-    def of_words(words: Column) -> Column:
-        n, chars = F.size(words), F.greatest(F.char_length(text), F.lit(1))
-        return F.when(n > 0, F.struct(
-            n.alias("n_words"),
-            (F.regexp_count(text, F.lit(r"[#$%&*!@^~=<>+\\|]")) / chars).alias("symbols"),
-            (F.regexp_count(text, F.lit(r"\p{Lu}")) / chars).alias("capitals"),
-            (1 - F.size(F.array_distinct(words)) / n).alias("repeats"),
-            let(lines, lambda x: 1 - F.size(F.array_distinct(x)) / F.greatest(F.size(x), F.lit(1))).alias("repeated_lines"),
-            (F.regexp_count(text, F.lit(r"[|•»]")) / n).alias("bars"),
-            (chars / n).alias("word_length"),
-            (F.regexp_count(text, F.lit(r"\p{N}")) / chars).alias("digits"),
-        ))
 
-    return let(nonempty(F.split(text, r"\s+")), of_words)
+@lru_cache(maxsize=1)
+def categories() -> np.ndarray:
+    """The kind of each code point."""
+    table = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+    for code in range(0x30000):  # higher planes hold no letters with cases, digits or spaces that matter here
+        kind = unicodedata.category(chr(code))
+        if kind[0] in "LM":
+            table[code] = CAPITAL if kind == "Lu" else LETTER
+        elif kind[0] == "N":
+            table[code] = DIGIT
+        elif chr(code).isspace():
+            table[code] = SPACE
+    table[[ord(c) for c in "#$%&*!@^~=<>+\\"]] = SYMBOL
+    table[[ord(c) for c in "|•»"]] = BAR
+    return table
+
+
+def profile(text: str, with_tokens: bool) -> tuple | None:
+    """n_words, the statistics, and the distinct word shapes of a text; None without words.
+
+    A shape has X for capitals, x for other letters, 9 for digits, each run
+    of a kind or of one sign once; the first 12 signs count.
+    """
+    words = text.split()
+    if not words:
+        return None
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    kinds = categories()[codes]
+    n, chars, count = len(words), len(codes), np.bincount(kinds, minlength=7)
+    lines = [x for x in text.split("\n") if x]
+    numbers = (
+        n, (count[SYMBOL] + count[BAR]) / chars, count[CAPITAL] / chars, 1 - len(set(words)) / n,
+        1 - len(set(lines)) / max(len(lines), 1), count[BAR] / n, chars / n, count[DIGIT] / chars,
+    )
+    tokens = []
+    if with_tokens:
+        signs = np.where(kinds == LETTER, ord("x"), np.where(kinds == CAPITAL, ord("X"), np.where(kinds == DIGIT, ord("9"), np.where(kinds == SPACE, 32, codes)))).astype(np.uint32)
+        first = np.ones(chars, bool)
+        first[1:] = signs[1:] != signs[:-1]
+        tokens = sorted({w[:12] for w in signs[first].tobytes().decode("utf-32-le").split(" ")} - {""})
+    return (*map(float, numbers), tokens)
+
+
+STATS_TYPE = "struct<n_words:double," + ",".join(f"{s}:double" for s in STATISTICS) + ",shapes:array<string>>"
+
+
+def _profiles(with_tokens: bool):
+    def run(texts: pd.Series) -> pd.DataFrame:
+        empty = (None,) * (len(STATISTICS) + 2)
+        rows = [profile(t or "", with_tokens) or empty for t in texts]
+        return pd.DataFrame(rows, columns=["n_words", *STATISTICS, "shapes"])
+
+    return F.pandas_udf(run, STATS_TYPE)
+
+
+def statistics(text: Column, with_tokens: bool = False) -> Column:
+    """A struct of n_words, :data:`STATISTICS` and shapes; its fields are null for texts without words."""
+    return _profiles(with_tokens)(F.coalesce(text, F.lit("")))
 
 
 def votes(s: Column) -> list[Column]:
     """One vote a heuristic; a text may get several, and they may differ."""
 
     def vote(junk: Column, good: Column) -> Column:
-        return F.when(s.isNull(), -1).when(junk, 0).when(good, 1).otherwise(-1).cast("int")
+        return F.when(s["n_words"].isNull(), -1).when(junk, 0).when(good, 1).otherwise(-1).cast("int")
 
     enough = s["n_words"] >= 20
     return [
@@ -110,14 +157,10 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, steps: in
     return model
 
 
-def shape_tokens(text: Column, s: Column) -> Column:
-    """Word shapes (capitals X, letters x, digits 9, runs as one; at most 12 long) and binned statistics."""
-    shape = F.coalesce(text, F.lit(""))
-    for pattern, sign in ((r"\p{Lu}+", "X"), (r"[\p{L}\p{M}&&[^X]]+", "x"), (r"\p{N}+", "9"), (r"([^\sXx9])\1+", "$1")):
-        shape = F.regexp_replace(shape, pattern, sign)
-    words = F.transform(nonempty(F.split(shape, r"\s+")), lambda w: F.left(w, F.lit(12)))
+def tokens(s: Column) -> Column:
+    """The word shapes and the binned statistics of a profile."""
     bins = [F.concat(F.lit(f"\0{name}="), F.floor(F.coalesce(s[name], F.lit(0.0)) * (1 if name == "word_length" else 10)).cast("string")) for name in STATISTICS]
-    return F.concat(F.array_distinct(words), F.array(*bins))
+    return F.concat(F.coalesce(s["shapes"], F.array().cast("array<string>")), F.array(*bins))
 
 
 @dataclass(frozen=True)
@@ -127,9 +170,9 @@ class QualityModel:
 
 
 def _hashed(df: DataFrame, text_col: str) -> DataFrame:
-    stats = df.withColumn("quality_stats", statistics(F.col(text_col)))
-    tokens = stats.withColumn("quality_tokens", shape_tokens(F.col(text_col), F.col("quality_stats")))
-    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="quality_tokens", outputCol="quality_features").transform(tokens)
+    stats = df.withColumn("quality_stats", statistics(F.col(text_col), True))
+    told = stats.withColumn("quality_tokens", tokens(F.col("quality_stats")))
+    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="quality_tokens", outputCol="quality_features").transform(told)
 
 
 def fit(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_rows: int = 12_000) -> QualityModel:
@@ -139,10 +182,10 @@ def fit(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_rows:
     words take no part.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"), statistics(F.col(text_col)).alias("s")).filter("s is not null")
+    rows = df.select(statistics(F.col(text_col)).alias("s"))
     names = [f"v{j}" for j in range(len(votes(F.col("s"))))]
-    voted = rows.select("h", *(v.alias(n) for v, n in zip(votes(F.col("s")), names)))
-    counted = voted.groupBy(*names).agg(F.count("*").alias("n")).toPandas()  # at most 3 ** heuristics rows
+    voted = rows.select(F.col("s.n_words").isNotNull().alias("told"), *(v.alias(n) for v, n in zip(votes(F.col("s")), names)))
+    counted = voted.filter("told").groupBy(*names).agg(F.count("*").alias("n")).toPandas()  # at most 3 ** heuristics rows
     if counted.empty:
         return QualityModel(LabelModel(np.full(len(names) + 1, 1 / (len(names) + 1)), np.full((len(names) + 1, len(names), 2), 1 / 2)), None)
     patterns, counts = counted[names].to_numpy(), counted["n"].to_numpy()
@@ -150,7 +193,7 @@ def fit(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_rows:
     soft = spark.createDataFrame([(*map(int, x), float(p)) for x, p in zip(patterns, labels.posterior(patterns))], ", ".join(f"{n} int" for n in names) + ", p double")
     share = max_rows / max(int(counts.sum()), 1)
     sample = df.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) <= int(share * 1_000_003)).select(F.col(text_col).alias("text")).limit(max_rows)
-    hashed = _hashed(sample, "text").filter("quality_stats is not null")
+    hashed = _hashed(sample, "text").filter("quality_stats.n_words is not null")
     hashed = hashed.select("quality_features", *(v.alias(n) for v, n in zip(votes(F.col("quality_stats")), names)))
     weighted = hashed.join(F.broadcast(soft), names).select("quality_features", F.explode(F.array(
         F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")),
@@ -171,5 +214,5 @@ def score(df: DataFrame, model: QualityModel, text_col: str = "text", threshold:
     row = fresh(df, "row")
     packed = df.select(F.struct(*df.columns).alias(row), F.col(text_col).alias("quality_text"))
     judged = model.scorer.setProbabilityCol("quality_p").setPredictionCol("quality_y").setRawPredictionCol("quality_r").transform(_hashed(packed, "quality_text"))
-    p = F.when(F.col("quality_stats").isNull(), 0.0).otherwise(vector_to_array("quality_p")[1])
+    p = F.when(F.col("quality_stats.n_words").isNull(), 0.0).otherwise(vector_to_array("quality_p")[1])
     return judged.select(f"{row}.*", p.alias("quality")).withColumn("keep", (F.col("quality") >= threshold).cast("int"))
