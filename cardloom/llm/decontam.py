@@ -41,8 +41,8 @@ def tokens(text: Column) -> Column:
 
 def mix(flat: np.ndarray, mask: tuple[int, ...], seed: int) -> np.ndarray:
     """The hash of each window under ``mask``."""
-    n = len(flat) - mask[-1]
-    h = np.full(max(n, 0), seed * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
+    n = max(len(flat) - mask[-1], 0)
+    h = np.full(n, seed * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
     for offset in mask:
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= flat[offset : offset + n]
