@@ -2,7 +2,7 @@
 
 import pytest
 
-from cardloom.plans import catalog
+from cardloom.plans import catalog, linking  # noqa: F401
 from compare import SF, connect, rows
 
 
