@@ -62,3 +62,19 @@ def embed_context(cards: DataFrame, bridges: dict[str, tuple[DataFrame, str]]) -
 def centroids(vectors: DataFrame, by: str, col: str = "embedding") -> DataFrame:
     """Mean vector per ``by``, a row per dimension."""
     return vectors.select(by, F.posexplode(col).alias("dim", "x")).groupBy(by, "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+
+
+def hash_embedding(text: Column, dimension: int) -> Column:
+    """A vector that depends on the text's bytes alone: pairs of bytes of SHA-256(text, counter) on a scale from -1 to 1.
+
+    Null counts as empty.
+    """
+    data = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+
+    def values(counter: Column) -> Column:
+        digest = F.sha2(F.concat(data, F.unhex(F.lpad(F.hex(counter), 8, "0"))), 256)
+        pairs = F.regexp_extract_all(digest, F.lit("(.{4})"), F.lit(1))
+        return F.transform(pairs, lambda p: F.conv(p, 16, 10).cast("double") / 65535.0 * 2.0 - 1.0)
+
+    blocks = F.transform(F.sequence(F.lit(0).cast("long"), F.lit((dimension - 1) // 16).cast("long")), values)
+    return F.slice(F.flatten(blocks), 1, dimension)
