@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,8 @@ from cardloom.llm.common import materialize
 BUCKET_BITS = 20
 #: Code points hashed at once.
 SLICE = 1 << 20
+#: Entries of the sample's sparse rows that a step of the fit takes at once.
+ENTRIES = 1 << 19
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -96,33 +99,57 @@ def _counts(ngrams: tuple[int, ...]):
 
 
 def _rows(ngrams: tuple[int, ...], chosen):
-    """(label, buckets) of each text, of the chosen buckets only."""
+    """(label, features) of each text: the numbers of the chosen buckets that it holds, two bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.zeros(1 << BUCKET_BITS, np.uint16)
+        number[chosen.value] = np.arange(len(chosen.value))
         wanted = np.zeros(1 << BUCKET_BITS, bool)
         wanted[chosen.value] = True
         for batch in batches:
-            found = [[] for _ in range(batch.num_rows)]
+            found = [b""] * batch.num_rows
             for codes, owner, _ in slices(batch.column(0).to_pylist()):
                 who, b = features(codes, owner, ngrams, wanted)
                 for i, part in zip(np.unique(who), np.split(b, np.flatnonzero(np.diff(who)) + 1)):
-                    found[i] = part.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["label", "buckets"])
+                    found[i] = number[part].tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(found, pa.binary())], names=["label", "features"])
 
     return run
 
 
-def logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels: np.ndarray, width: int, l2: float, steps: int) -> tuple[np.ndarray, float]:
-    """Weights and bias of an L2 logistic regression on sparse rows, by accelerated gradient descent."""
-    n = max(len(labels), 1)
-    square = np.bincount(rows, values**2, minlength=n).max(initial=1.0) + 1
+def logistic(sizes: np.ndarray, columns: np.ndarray, values: np.ndarray, labels: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
+    """Weights and bias of an L2 logistic regression on sparse rows, by accelerated gradient descent.
+
+    ``sizes``: how many of ``columns`` each row holds; ``values``: a feature's
+    value, the same in all rows that hold it. Rows are taken in blocks, so
+    that what a step needs besides ``columns`` doesn't grow with their number.
+    """
+    n, width = max(len(labels), 1), len(values)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    edges = np.unique(np.concatenate([np.searchsorted(offsets, np.arange(0, offsets[-1], ENTRIES)), [0, len(sizes)]]))
+    blocks = list(zip(edges[:-1], edges[1:]))
+
+    def by_row(weights: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(labels))
+        for i, j in blocks:
+            owner = np.repeat(np.arange(j - i), sizes[i:j])
+            out[i:j] = np.bincount(owner, weights[columns[offsets[i] : offsets[j]]], minlength=j - i)
+        return out
+
+    def by_column(weights: np.ndarray) -> np.ndarray:
+        out = np.zeros(width)
+        for i, j in blocks:
+            out += np.bincount(columns[offsets[i] : offsets[j]], np.repeat(weights[i:j], sizes[i:j]), minlength=width)
+        return out
+
+    square = by_row(values**2).max(initial=1.0) + 1
     rate = 4.0 / (square + 4 * l2)
     w, b = np.zeros(width), float(np.log((labels.sum() + 1) / (n - labels.sum() + 1)))
     wv, bv, momentum = w.copy(), b, 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, values * wv[columns], minlength=n) + bv, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(by_row(values * wv) + bv, -30, 30)))
         g = (p - labels) / n
-        w2 = wv - rate * n / 8 * (np.bincount(columns, values * g[rows], minlength=width) + l2 / n * wv)
+        w2 = wv - rate * n / 8 * (values * by_column(g) + l2 / n * wv)
         b2 = bv - rate * n / 8 * g.sum()
         # start anew where the step goes against the momentum
         grown = (1 + np.sqrt(1 + 4 * momentum**2)) / 2 if ((wv - w2) * (w2 - w)).sum() + (bv - b2) * (b2 - b) <= 0 else 1.0
@@ -142,6 +169,8 @@ def fit(
     any). Two scans of the sample; Spark counts, the driver gets
     ``max_features`` buckets a row at most.
     """
+    if max_features > 1 << 16:
+        raise ValueError("features are numbered in two bytes")
     spark = labelled.sparkSession
     rows = labelled.filter(F.col(label_col).isNotNull()).select(
         F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"), F.xxhash64(id_col).alias("h")
@@ -157,21 +186,22 @@ def fit(
         return ToxicityModel(np.zeros(1 << BUCKET_BITS, np.float32), float(np.log((n1 + 1) / (n0 + 1))), ngrams)
     counts = sample.mapInArrow(_counts(ngrams), "bucket int, toxic long, clean long").groupBy("bucket").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
-    ).toPandas()  # as many rows as buckets at most
-    b, c1, c0 = (counts[k].to_numpy() for k in ("bucket", "toxic", "clean"))
+    ).toArrow()  # as many rows as buckets at most
+    b, c1, c0 = (counts.column(k).to_numpy() for k in ("bucket", "toxic", "clean"))
+    del counts
     log_p, log_q = np.log(alpha + c1), np.log(alpha + c0)
     ratio = (log_p - np.log((alpha + c1).sum())) - (log_q - np.log((alpha + c0).sum()))
     chi2 = (c1 * (n0 - c0) - c0 * (n1 - c1)).astype(float) ** 2 / np.maximum(1, (c1 + c0) * (n1 + n0 - c1 - c0))
     best = np.lexsort((b, -chi2))[:max_features]
     best = best[c1[best] + c0[best] >= 3]
     chosen = spark.sparkContext.broadcast(b[best])
-    got = sample.mapInArrow(_rows(ngrams, chosen), "label int, buckets array<int>").toPandas()
-    position = np.full(1 << BUCKET_BITS, -1, np.int64)
-    position[b[best]] = np.arange(len(best))
-    sizes = got["buckets"].map(len).to_numpy()
-    columns = position[np.concatenate([np.asarray(x, np.int64) for x in got["buckets"]] or [np.zeros(0, np.int64)])]
+    got = sample.mapInArrow(_rows(ngrams, chosen), "label int, features binary").toArrow()
+    held, labels = got.column("features"), got.column("label").to_numpy().astype(float)
+    sizes = np.concatenate([pc.binary_length(x).to_numpy(zero_copy_only=False) for x in held.chunks] or [np.zeros(0)]).astype(np.int64) // 2
+    columns = np.frombuffer(b"".join(x.as_py() for x in held), np.uint16)
+    del got, held
     r = ratio[best]
-    w, bias = logistic(np.repeat(np.arange(len(got)), sizes), columns, r[columns], got["label"].to_numpy(float), len(best), l2, steps)
+    w, bias = logistic(sizes, columns, r, labels, l2, steps)
     weights = np.zeros(1 << BUCKET_BITS, np.float32)
     weights[b[best]] = w * r
     return ToxicityModel(weights, bias, ngrams)
