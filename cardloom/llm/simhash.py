@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 
 from cardloom.llm.common import fresh, materialize
 from cardloom.llm.components import connected_components
+from cardloom.llm.lm import scramble
+from cardloom.llm.prefix import all_pairs, first_pairs, prefix_keys
 
 SEED = 42
 #: Generator polynomials of the two codes (fixed values).
@@ -216,14 +218,22 @@ def _distinct_words(seeds: tuple[int, ...]):
     return run
 
 
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Hashes, ascending, of the distinct runs of ``words`` words; a shorter text is one run."""
+    parts = (text or "").encode().lower().split()
+    own = {w: xxhash.xxh64_intdigest(w) for w in set(parts)}
+    flat = np.array([own[w] for w in parts], np.uint64)
+    words = min(words, len(parts))
+    h = np.full(max(len(parts) - words + 1, 1), words, np.uint64)
+    for k in range(words):
+        h = scramble(h * np.uint64(0x9E3779B97F4A7C15) + flat[k : k + len(h)])
+    return np.unique(h)
+
+
 def _shingle_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for text in batch.column(1):
-                parts = (text.as_py() or "").encode().lower().split()
-                shingles = {xxhash.xxh64_intdigest(b" ".join(parts[i : i + words])) for i in range(max(1, len(parts) - words + 1))}
-                sets.append(np.array(sorted(shingles), np.uint64).tobytes())
+            sets = [shingles(text.as_py(), words).tobytes() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     return run
@@ -258,13 +268,14 @@ def similar_documents(
 ) -> DataFrame:
     """A row per row of ``df``: id and component_id, linked by likeness of their shingles.
 
-    Rows with the same words in order are one text. Texts are candidates if
-    their SimHashes of distinct words differ in at most ``threshold`` bits
-    under any of ``seeds``: one replaced word changes ``words`` shingles but
-    one distinct word, so texts whose shingles are alike to ``similarity`` lie
-    close together there. Candidates link if the Jaccard index of their
-    ``words``-word shingles, compared exactly, is at least ``similarity``.
-    component_id is the smallest id that links reach.
+    Rows with the same words in order are one text. Texts link if the Jaccard
+    index of their ``words``-word shingles is at least ``similarity``;
+    component_id is the smallest id that links reach. First candidates are
+    texts and leaders whose SimHashes of distinct words differ in at most
+    ``threshold`` bits under any of ``seeds``, and in ``total`` over all: they
+    gather large groups at a pair a text. A prefix-filter join then meets
+    every other pair that can reach ``similarity`` (see :mod:`prefix`). All
+    candidates are compared exactly.
 
     Null texts are empty, empty texts are all one text; rows with a null id
     get a null component_id. Ids should be unique.
@@ -277,15 +288,16 @@ def similar_documents(
     texts = marked.groupBy("same", *fps).agg(F.min("id").alias("first"))
     texts = materialize(texts.select("same", *fps, F.col("first").cast("long").alias("id"), F.col("first").cast("long").alias("class")), "texts")
     by_id = rows.select(F.col("id").cast("long").alias("id"), "text")
+    by_id = by_id.join(marked.select(F.col("id").cast("long").alias("id")).join(texts, "id", "left_anti").distinct(), "id", "left_anti")
+    met = prefix_keys(by_id, shingles, words, similarity)
+    by_simhash = lambda order: lambda texts: reduce(DataFrame.unionByName, (
+        leader_pairs(texts.select(F.col(fp).alias("fp"), "id", "class", *fps), threshold, order, total) for fp in fps
+    ))
+    by_prefix = lambda pairs: lambda texts: pairs(met.join(texts.select("id", "class"), "id"), similarity)
     links = None
-    for candidates in (
-        # members of a large group link to a leader first, a pair each; then only pairs of different classes are left
-        lambda nodes: leader_pairs(nodes, threshold, lambda i: i, total),
-        lambda nodes: leader_pairs(nodes, threshold, lambda i: F.xxhash64(i), total),
-        lambda nodes: near_pairs(nodes, threshold, total),
-    ):
-        found = [candidates(texts.select(F.col(fp).alias("fp"), "id", "class", *fps)) for fp in fps]
-        pairs = materialize(reduce(DataFrame.unionByName, found).distinct(), "candidates")
+    # members of a large group link to a leader first, a pair each; then only pairs of different classes are left
+    for candidates in (by_simhash(lambda i: i), by_simhash(F.xxhash64), by_prefix(first_pairs), by_prefix(all_pairs)):
+        pairs = materialize(candidates(texts).distinct(), "candidates")
         new = verified(pairs, by_id, words, similarity)
         links = materialize(new if links is None else links.unionByName(new), "similar")
         roots = connected_components(links.toDF("a", "b"))

@@ -8,8 +8,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from cardloom.llm import bpe, components, decontam, licenses, lm, omh, quality, queries, simhash, toxicity, urlfilter, warc
+from cardloom.llm import bpe, components, decontam, licenses, lm, omh, prefix, quality, queries, simhash, toxicity, urlfilter, warc
 from compare import SF, connect, rows
 
 DOCS = "doc_id long, text string, label string"
@@ -132,6 +133,36 @@ def test_similar_documents(spark):
     assert {r.doc_id for r in simhash.keep_one(df).collect()} == {1, 3, 5}
 
 
+def test_similar_documents_miss_no_pair(spark):
+    rng = np.random.default_rng(5)
+    texts, fresh_word = [], iter(range(10**6))
+    for base in range(12):
+        n = int(rng.integers(60, 300))
+        text = [f"w{k}" for k in rng.integers(0, 2000, n)]
+        texts.append(text)
+        for edits in (0.005, 0.015, 0.02, 0.025, 0.03):  # scattered words
+            texts.append([f"e{next(fresh_word)}" if rng.random() < edits else w for w in text])
+        for part in (0.1, 0.2, 0.24, 0.26):  # an appended passage, a replaced block
+            passage = [f"e{next(fresh_word)}" for _ in range(int(n * part))]
+            texts.append([*text, *passage])
+            texts.append([*passage[: len(passage) // 2], *text[len(passage) // 2 :]])
+        texts.append(text * 2)
+    texts += [["one", "two", *[f"s{k}"]] for k in range(3)] + [["a", "b"] * k for k in (5, 6, 9)]
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    root = list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    pairs = [(x, y) for x in range(len(texts)) for y in range(x) if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]) - 1e-9]
+    for x, y in pairs:
+        a, b = sorted((find(x), find(y)))
+        root[b] = a
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == {i: find(i) for i in range(len(texts))}
+    # the prefix keys alone meet every pair
+    keys = prefix.prefix_keys(df.toDF("id", "text"), simhash.shingles, 5, 0.8).withColumn("class", F.col("id"))
+    assert set(pairs) <= {(r.y, r.x) for r in prefix.all_pairs(keys, 0.8).collect()}
+
+
 def test_toxicity_learns(spark):
     rows_ = [(i, f"some words {i * 7919 % 1000} here {'you idiot' if i % 4 == 0 else 'you friend'} and more", "", int(i % 4 == 0)) for i in range(200)]
     df = spark.createDataFrame(rows_, DOCS + ", toxic int")
