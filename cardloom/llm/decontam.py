@@ -76,35 +76,33 @@ class Seeds:
         small[(hashes.astype(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         return cls(ids, items, masks, hashes.astype(np.uint64)[order], item.astype(np.int64)[order], position.astype(np.int64)[order], small)
 
-    def hits(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (item, start of the item in ``flat``) of the seeds met; starts may lie outside."""
-        where, which = [], []
+    def hits(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Distinct columns (item, start of the item in ``flat``, document of the window) of the seeds met within a document; starts may lie outside it."""
+        found = []
         for k, mask in enumerate(self.masks):
             h = mix(flat, mask, k + 1)
             at = np.flatnonzero(self.small[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+            doc = np.searchsorted(offsets, at, "right") - 1
+            whole = at + mask[-1] < offsets[doc + 1]
+            at, doc = at[whole], doc[whole]
             lo, hi = (np.searchsorted(self.hashes, h[at], side) for side in ("left", "right"))
             n = hi - lo
-            rows = np.repeat(at, n)
+            rows = np.repeat(np.arange(len(at)), n)
             seeds = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            where.append(rows - self.position[seeds])
-            which.append(self.item[seeds])
-        pairs = np.unique(np.stack([np.concatenate(which), np.concatenate(where)]), axis=1)
-        return pairs[0], pairs[1]
+            found.append(np.stack([self.item[seeds], at[rows] - self.position[seeds], doc[rows]]))
+        return np.unique(np.concatenate(found, axis=1), axis=1)
 
 
 def overlaps(flat: np.ndarray, offsets: np.ndarray, seeds: Seeds, share: float, least: int) -> dict[int, dict[int, float]]:
     """By document: the items found in it and their best overlap."""
     found: dict[int, dict[int, float]] = {}
-    for i, start in zip(*seeds.hits(flat)):
+    for i, start, d in seeds.hits(flat, offsets).T.tolist():
         item = seeds.items[i]
-        doc = int(np.searchsorted(offsets, max(start, 0), "right")) - 1
-        # a hit before a document's first token belongs to the document that holds most of the item
-        for d in {doc, min(int(np.searchsorted(offsets, min(start + len(item) - 1, len(flat) - 1), "right")) - 1, len(offsets) - 2)}:
-            a, b = max(start, offsets[d]), min(start + len(item), offsets[d + 1])
-            same = int((flat[a:b] == item[a - start : b - start]).sum()) if a < b else 0
-            if same >= min(least, len(item)) and same >= share * len(item):
-                own = found.setdefault(d, {})
-                own[int(i)] = max(own.get(int(i), 0.0), same / len(item))
+        a, b = max(start, offsets[d]), min(start + len(item), offsets[d + 1])
+        same = int((flat[a:b] == item[a - start : b - start]).sum())
+        if same >= min(least, len(item)) and same >= share * len(item):
+            own = found.setdefault(d, {})
+            own[i] = max(own.get(i, 0.0), same / len(item))
     return found
 
 
