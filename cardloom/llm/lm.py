@@ -5,13 +5,14 @@ before and an end after each text). Tasks count the 64-bit hashes of their
 rows' n-grams and send them on by range of hash; a range's counts are
 quantised on a log scale, ``q = 1 + floor(log2(count))``, and (n-gram, 1) to
 (n-gram, q) are set in the range's own blocks of the filter, so no two tasks
-share a block. The filter is broadcast: 64 MB at most, whatever the corpus.
-Scoring probes (n-gram, 1), (n-gram, 2), ... until one is missing; the last
-one present gives the count, and counts of pairs and words are interpolated.
-
-A corpus with more distinct n-grams than the filter holds at ``bits_per_key``
-has the rarest levels left out: the smallest count that still fits is found
-from the counts' histogram, and n-grams below it score by their words.
+share a block. Scoring probes (n-gram, 1), (n-gram, 2), ... until one is
+missing; the last one present gives the count, and counts of pairs and words
+are interpolated.
+
+The filter grows with the corpus and lies in the shared folder, by range. It
+is broadcast in slices of at most 64 MB, one after the other: a filter of more
+than one slice takes a pass over the texts for each, which notes the levels of
+those n-grams whose ranges the slice holds.
 """
 
 from __future__ import annotations
@@ -120,26 +121,26 @@ def positions(hashes: np.ndarray, level: int | np.ndarray, bits: int) -> list[np
     return [block | ((mixed >> np.uint64(BLOCK_BITS * i)) & mask) for i in range(PROBES)]
 
 
-def _fill(range_bits: int, bits: int, least_level: int):
+def _fill(range_bits: int, bits: int):
     """Rows (range, part): the range's stretch of the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 low, counts = unpack(packed)
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([stretch(r, low, counts, range_bits, bits, least_level)], pa.binary())], names=["range", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([stretch(r, low, counts, range_bits, bits)], pa.binary())], names=["range", "part"])
 
     return run
 
 
-def stretch(r: int, low: np.ndarray, counts: np.ndarray, range_bits: int, bits: int, least_level: int) -> bytes:
+def stretch(r: int, low: np.ndarray, counts: np.ndarray, range_bits: int, bits: int) -> bytes:
     size = 1 << (bits - range_bits)
     part = np.zeros(size, bool)
     levels = np.floor(np.log2(counts)).astype(np.int64) + 1
     # between the range's bits and the low 40 ones, blocks are told by a hash of the low ones
     hashes = spread(np.uint64(r), low, range_bits)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        own = hashes[(levels >= level) & (levels >= least_level)]
+        own = hashes[levels >= level]
         for p in positions(own, level, bits):
             part[(p & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(part, bitorder="little").tobytes()
@@ -153,8 +154,8 @@ def spread(r: np.ndarray | np.uint64, low: np.ndarray, range_bits: int) -> np.nd
 
 @dataclass(frozen=True)
 class LanguageModel:
-    filter: np.ndarray  # bytes, lowest bit first
     bits: int
+    slice_bits: int
     range_bits: int
     train_tokens: int
     train_rows: int
@@ -163,30 +164,52 @@ class LanguageModel:
     head_counts: np.ndarray
     weight: float
 
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Estimated counts, 0 for n-grams that the filter doesn't hold, by probing one level after the other."""
-        hashes = spread(hashes >> np.uint64(64 - self.range_bits), hashes & np.uint64(LOW), self.range_bits)
-        level, alive = np.zeros(len(hashes), np.int64), np.arange(len(hashes))
+    @property
+    def slices(self) -> int:
+        return 1 << (self.bits - self.slice_bits)
+
+
+@dataclass(frozen=True)
+class Slice:
+    """A stretch of the filter: that of the hashes whose top bits are ``number``."""
+
+    filter: np.ndarray  # bytes, lowest bit first
+    number: int
+    model: LanguageModel
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """The levels of counts, by probing one after the other; 0 for n-grams that the slice doesn't hold."""
+        m = self.model
+        hashes = spread(hashes >> np.uint64(64 - m.range_bits), hashes & np.uint64(LOW), m.range_bits)
+        level = np.zeros(len(hashes), np.uint8)
+        alive = np.flatnonzero((hashes >> np.uint64(1)) >> np.uint64(63 - (m.bits - m.slice_bits)) == np.uint64(self.number))
+        inside = np.uint64((1 << m.slice_bits) - 1)
         while len(alive):
             ok = np.ones(len(alive), bool)
-            for p in positions(hashes[alive], int(level[alive[0]]) + 1, self.bits):
+            for p in positions(hashes[alive], int(level[alive[0]]) + 1, m.bits):
                 i = np.flatnonzero(ok)
-                held = (self.filter[(p[i] >> np.uint64(3)).astype(np.int64)] >> (p[i] & np.uint64(7)).astype(np.uint8)) & 1
+                p = p[i] & inside
+                held = (self.filter[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
                 ok[i[held == 0]] = False
             alive = alive[ok]
             level[alive] += 1
-        # the middle of the counts that share the level
-        return np.where(level > 0, (3 * 2.0 ** (level - 1) - 1) / 2, 0.0)
+        return level
+
+
+def middle(levels: np.ndarray) -> np.ndarray:
+    """The middle of the counts that share a level, 0 for level 0."""
+    return np.where(levels > 0, (3 * 2.0 ** (levels.astype(np.int64) - 1) - 1) / 2, 0.0)
 
 
 @dataclass(frozen=True)
 class FittedModel:
     model: LanguageModel
+    parts: DataFrame  # range, part: the filter
     vocabulary: DataFrame  # h, c: the words' hashes and counts, the end included
 
 
 def fit(train: DataFrame, text_col: str = "text", weight: float = 0.7, bits_per_key: int = 8, max_bits: int = MAX_BITS, max_head: int = MAX_HEAD) -> FittedModel:
-    """Count all rows of ``train`` (null texts are empty) and build the filter.
+    """Count all rows of ``train`` (null texts are empty) and build the filter, in slices of at most ``2 ** max_bits`` bits.
 
     Words are told apart by 64-bit hashes. An empty table gives a model that
     knows nothing.
@@ -209,38 +232,71 @@ def fit(train: DataFrame, text_col: str = "text", weight: float = 0.7, bits_per_
     order = np.argsort(head_hashes)
 
     # a range takes about 400,000 n-grams before they are merged; ranges share no block of the filter
-    range_bits = int(np.clip(np.ceil(np.log2(max(2 * (total + rows), 1) / 400_000)), 4, max_bits - BLOCK_BITS))
+    range_bits = int(np.clip(np.ceil(np.log2(max(2 * (total + rows), 1) / 400_000)), 4, 24))
     counted = train.select(tokens(F.col(text_col)).alias("t")).mapInArrow(_count(range_bits), "range int, packed binary")
     merged = counted.groupBy("range").applyInArrow(_merge, "range int, packed binary, levels array<long>")
     merged = materialize(merged, "ngrams")
     levels = [0] * 41
     for row in merged.select(F.posexplode("levels").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect():
         levels[row["level"]] = row["n"]
-    keys_from = lambda least: sum(q * n for q, n in enumerate(levels) if q >= least)
-    least = next(q for q in range(1, 42) if keys_from(q) * bits_per_key <= 1 << max_bits)
-    bits = int(np.clip(np.ceil(np.log2(max(keys_from(least) * bits_per_key, 1))), range_bits + BLOCK_BITS, max_bits))
-    table = np.zeros(1 << (bits - 3), np.uint8)
-    size = 1 << (bits - range_bits - 3)
-    parts = merged.select("range", "packed").mapInArrow(_fill(range_bits, bits, least), "range int, part binary").toArrow()  # the filter, 64 MB at most
-    for batch in parts.to_batches():
-        for r, part in zip(batch.column(0).to_pylist(), batch.column(1)):
-            table[r * size : (r + 1) * size] = np.frombuffer(part.as_buffer(), np.uint8)
-    del parts
+    keys = sum(q * n for q, n in enumerate(levels))
+    bits = max(int(np.ceil(np.log2(max(keys * bits_per_key, 1)))), range_bits + BLOCK_BITS)
+    slice_bits = max(min(bits, max_bits), bits - range_bits)  # a slice holds whole ranges
+    parts = materialize(merged.select("range", "packed").mapInArrow(_fill(range_bits, bits), "range int, part binary"), "filter")
     end = spark.range(1 if rows else 0).select(F.lit(int(END)).alias("h"), F.lit(rows).cast("long").alias("c"))
     model = LanguageModel(
-        table, bits, range_bits, int(total + rows), int(rows), int(distinct + bool(rows)),
+        bits, slice_bits, range_bits, int(total + rows), int(rows), int(distinct + bool(rows)),
         head_hashes[order], head_counts[order], weight,
     )
-    return FittedModel(model, vocabulary.unionByName(end))
+    return FittedModel(model, parts, vocabulary.unionByName(end))
 
 
 def _log_unit(model: LanguageModel, counts: np.ndarray) -> np.ndarray:
     return np.log10((counts + 0.5) / (model.train_tokens + 0.5 * (model.distinct + 1)))
 
 
-def _score(at: int, model):
+def _slice(fitted: FittedModel, number: int) -> Slice:
+    m = fitted.model
+    bits = m.range_bits - (m.bits - m.slice_bits)  # of a range's number within its slice
+    table, size = np.zeros(1 << (m.slice_bits - 3), np.uint8), 1 << (m.bits - m.range_bits - 3)
+    for batch in fitted.parts.filter(F.shiftright("range", bits) == number).toArrow().to_batches():  # a slice, 64 MB at most
+        for r, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+            r &= (1 << bits) - 1
+            table[r * size : (r + 1) * size] = np.frombuffer(part.as_buffer(), np.uint8)
+    return Slice(table, number, m)
+
+
+def _note(at: int, shared):
+    """Adds a slice's levels to those in the column after ``at``: a byte for each word of a row, and one for each pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = shared.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                token, _, pair, stops = ngrams(batch.column(at))
+                both = s.levels(token), s.levels(pair)
+                noted = []
+                for a, b, old in zip([0, *stops[:-1].tolist()], stops.tolist(), batch.column(at + 1)):
+                    new = np.concatenate([x[a:b] for x in both])
+                    noted.append((new | np.frombuffer(old.as_py(), np.uint8) if len(old.as_buffer()) else new).tobytes())
+                yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], pa.array(noted, pa.binary())], names=batch.schema.names)
+
+    return run
+
+
+def _noted(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    rows = [np.frombuffer(x.as_buffer(), np.uint8).reshape(2, -1) for x in column]
+    both = np.concatenate(rows, axis=1) if rows else np.zeros((2, 0), np.uint8)
+    return both[0], both[1]
+
+
+def _score(at: int, shared):
+    """``shared``: the filter's only slice; if there are more, the model, and the column after ``at`` has the levels."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        s = shared.value
+        m = s.model if isinstance(s, Slice) else s
         for whole in batches:
             for start in range(0, whole.num_rows, 2048):
                 batch = whole.slice(start, 2048)
@@ -248,7 +304,7 @@ def _score(at: int, model):
                 token, before, pair, stops = ngrams(lists)
                 starts = np.concatenate([[0], stops[:-1]])
                 # the model
-                uni, pairs = m.counts(token), m.counts(pair)
+                uni, pairs = map(middle, (s.levels(token), s.levels(pair)) if isinstance(s, Slice) else _noted(batch.column(at + 1)))
                 context = np.concatenate([[m.train_rows], uni[:-1]]).astype(float)
                 context[starts] = m.train_rows
                 smooth = (uni + 0.5) / (m.train_tokens + 0.5 * (m.distinct + 1))
@@ -272,8 +328,8 @@ def _score(at: int, model):
                 )
                 columns = [pa.array(np.diff(np.concatenate([[0], stops]))), pa.array(n_known), pa.array(base), pa.array(score), rest]
                 yield pa.RecordBatch.from_arrays(
-                    [*(c for k, c in enumerate(batch.columns) if k != at), *columns],
-                    names=[*(n for k, n in enumerate(batch.schema.names) if k != at), "n_tokens", "n_known", "base_score", "score", "rest"],
+                    [*batch.columns[:at], *columns],
+                    names=[*batch.schema.names[:at], "n_tokens", "n_known", "base_score", "score", "rest"],
                 )
 
     return run
@@ -292,7 +348,16 @@ def score(df: DataFrame, fitted: FittedModel, text_col: str = "text") -> DataFra
     kept = df.drop(text_col, "train_tokens", *(n for n, _ in outputs))
     listed = df.select(*(df[c] for c in kept.columns), tokens(F.col(text_col)).alias(fresh(kept, "tokens_of_text")))
     schema = T.StructType([*kept.schema.fields, *(T.StructField(n, t) for n, t in outputs), T.StructField("rest", T.ArrayType(T.LongType()))])
-    shared = df.sparkSession.sparkContext.broadcast(m)
+    context = df.sparkSession.sparkContext
+    if m.slices == 1:
+        shared = context.broadcast(_slice(fitted, 0))
+    else:
+        listed = listed.withColumn(fresh(listed, "levels_of_text"), F.lit(b""))
+        for number in range(m.slices):
+            held = context.broadcast(_slice(fitted, number))
+            listed = materialize(listed.mapInArrow(_note(len(kept.columns), held), listed.schema), "levels")
+            held.destroy()
+        shared = context.broadcast(m)
     first = listed.mapInArrow(_score(len(kept.columns), shared), schema).withColumn("row", F.monotonically_increasing_id())
     first = materialize(first, "scores")  # row numbers hold from here on
     rest = first.filter(F.size("rest") > 0).select("row", F.explode("rest").alias("h"))

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -186,6 +187,29 @@ def test_language_model_base_and_filter(spark, docs, head):
     assert np.allclose(sorted(r.base_score for r in got), want) and all(r.train_tokens == total and r.n_known == r.n_tokens and r.score <= 0 for r in got)
 
 
+@pytest.mark.parametrize("max_bits,slices", [(29, 1), (13, 8)])
+def test_language_model_score_at_any_size(spark, max_bits, slices):
+    rng = np.random.default_rng(3)
+    texts = [None, "", *(" ".join(f"w{k}" for k in rng.zipf(1.4, 60) % 4000) for _ in range(120))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    fitted = lm.fit(df, bits_per_key=64, max_bits=max_bits)
+    assert fitted.model.slices >= slices
+    lists = [[*(t or "").split(), "</s>"] for t in texts]
+    uni = Counter(w for x in lists for w in x)
+    pairs = Counter(p for x in lists for p in zip(["<s>", *x], x))
+    level = lambda c: (3 * 2 ** (c.bit_length() - 1) - 1) / 2
+    total, distinct = sum(uni.values()), len(uni)
+    want = {}
+    for i, x in enumerate(lists):
+        want[i] = 0.0
+        for before, w in zip(["<s>", *x], x):
+            context = len(texts) if before == "<s>" else level(uni[before])
+            share = min(level(pairs[before, w]), context) / context
+            want[i] += np.log10(min(0.7 * share + 0.3 * (level(uni[w]) + 0.5) / (total + 0.5 * (distinct + 1)), 1.0))
+    got = {r.doc_id: r.score for r in lm.score(df, fitted).collect()}
+    assert np.allclose([got[i] for i in want], list(want.values()))
+
+
 def test_decontamination(spark, docs):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
     swapped = item.replace("zeta", "ZZ").replace("xi", "QQ")
