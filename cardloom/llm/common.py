@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import string
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, a single machine) a temporary folder
-    is made and set, so that later calls find the same one.
+    Where the session names none, a folder is chosen and set, so that later
+    calls find the same one: a temporary one if driver and executors are one
+    process, else one in the warehouse, which a cluster shares.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
-        known = tempfile.mkdtemp(prefix="spark-shared-")
+        alone = spark.conf.get("spark.master", "").startswith("local") and "cluster" not in spark.conf.get("spark.master", "")
+        known = tempfile.mkdtemp(prefix="spark-shared-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
         spark.conf.set("spark.checkpoint.dir", known)
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
@@ -44,6 +48,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def literal_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A table of ``rows`` (tuples), given as one literal, so that no Python worker starts for it."""
+    names = [f.name for f in T.StructType.fromDDL(schema).fields]
+    told = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(told), f"array<struct<{schema}>>", {"mode": "FAILFAST"})))
+
+
+def smallest_by_hash(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` distinct rows of ``rows``: those of the smallest hashes over all columns.
+
+    The choice depends on the rows alone, not on their order or partitions;
+    rows that repeat count once. Only hashes are sorted, of about twice as
+    many rows as are wanted.
+    """
+    h = fresh(rows, "row_hash")
+    hashed = rows.withColumn(h, F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)))
+    total = rows.count()
+    if total > most:
+        low = lambda share: int(-(2**63) + share * 2**64)
+        some = hashed.filter(F.col(h) < low(min(2 * most / total, 0.999)))
+        for part in (some, hashed):  # the second only if many rows repeat
+            held = part.select(h).distinct().orderBy(h).limit(most).agg(F.count("*"), F.max(h)).first()
+            if held[0] == most:
+                break
+        hashed = hashed.filter(F.col(h) <= held[1])
+    return hashed.dropDuplicates([h]).drop(h)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have (names are compared as Spark does)."""
     taken = {c.lower() for c in df.columns}

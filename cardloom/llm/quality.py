@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import fresh, materialize
+from cardloom.llm.common import fresh, materialize, smallest_by_hash
 
 STATISTICS = ("symbols", "capitals", "repeats", "repeated_lines", "bars", "word_length", "digits")
 FEATURES = 1 << 16
@@ -178,8 +178,9 @@ def _hashed(df: DataFrame, text_col: str) -> DataFrame:
 def fit(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_rows: int = 12_000) -> QualityModel:
     """Estimate the heuristics' accuracies on all rows; fit the scorer on at most ``max_rows`` of them.
 
-    The sample holds the rows of the smallest hashes of the id. Texts without
-    words take no part.
+    The sample holds the rows of the smallest hashes of id and text, whatever
+    their order. Texts without words take no part; repeated rows count once
+    in the sample, each time in the accuracies.
     """
     spark = df.sparkSession
     rows = df.select(statistics(F.col(text_col)).alias("s"))
@@ -191,9 +192,8 @@ def fit(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_rows:
     patterns, counts = counted[names].to_numpy(), counted["n"].to_numpy()
     labels = expectation_maximisation(patterns, counts)
     soft = spark.createDataFrame([(*map(int, x), float(p)) for x, p in zip(patterns, labels.posterior(patterns))], ", ".join(f"{n} int" for n in names) + ", p double")
-    share = max_rows / max(int(counts.sum()), 1)
-    sample = df.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) <= int(share * 1_000_003)).select(F.col(text_col).alias("text")).limit(max_rows)
-    hashed = _hashed(sample, "text").filter("quality_stats.n_words is not null")
+    worded = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(r"\S"))
+    hashed = _hashed(smallest_by_hash(worded, max_rows).select("text"), "text").filter("quality_stats.n_words is not null")
     hashed = hashed.select("quality_features", *(v.alias(n) for v, n in zip(votes(F.col("quality_stats")), names)))
     weighted = hashed.join(F.broadcast(soft), names).select("quality_features", F.explode(F.array(
         F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")),

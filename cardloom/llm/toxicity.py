@@ -1,11 +1,12 @@
 """Toxicity: a character n-gram linear classifier on naive Bayes log-count ratios.
 
 Features are the hashed character n-grams that a text holds at least once. In
-training, Spark counts for each bucket how many toxic and clean texts hold it;
-the log ratio of the smoothed shares scales the bucket's feature. A logistic
-regression on the scaled features is fitted on a bounded sample of labelled
-texts and the ``max_features`` buckets of the largest chi-square. Scoring is a
-broadcast of one weight per bucket (4 MB, whatever the corpus).
+training, Spark counts over all labelled texts how many toxic and clean ones
+hold each bucket; the log ratio of the smoothed shares scales the bucket's
+feature. The model's features are the ``max_features`` buckets of the largest
+chi-square; a logistic regression on them is fitted on a bounded sample of
+labelled texts. Scoring is a broadcast of one weight per bucket (4 MB,
+whatever the corpus).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardloom.llm.common import materialize
+from cardloom.llm.common import materialize, smallest_by_hash
 
 BUCKET_BITS = 20
 #: Code points hashed at once.
@@ -162,29 +163,27 @@ def fit(
     labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = 12_000,
     max_features: int = 8_192, ngrams: tuple[int, ...] = (4, 5), alpha: float = 0.5, l2: float = 0.2, steps: int = 300,
 ) -> ToxicityModel:
-    """Fit on at most ``max_rows`` rows of ``labelled``, those of the smallest hashes of the id.
-
-    Rows with a null label are left out, null texts are empty. Without rows
-    of both labels every score is the share of the labels (one half without
-    any). Two scans of the sample; Spark counts, the driver gets
-    ``max_features`` buckets a row at most.
+    """Count over all rows of ``labelled``; fit on at most ``max_rows`` of them, those of the smallest hashes of id, text and label.
+
+    Rows with a null label are left out, null texts are empty, repeated rows
+    count once in the fit. Without rows of both labels every score is the
+    share of the labels (one half without any). ``max_features`` is the
+    model's size, the same for every corpus. Spark counts; the driver gets as
+    many rows as there are buckets, and ``max_features`` of two bytes a row of
+    the sample at most.
     """
     if max_features > 1 << 16:
         raise ValueError("features are numbered in two bytes")
     spark = labelled.sparkSession
-    rows = labelled.filter(F.col(label_col).isNotNull()).select(
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"), F.xxhash64(id_col).alias("h")
-    )
-    total = rows.count()
-    if total > max_rows:  # the share that gives about max_rows rows; limit() keeps the bound
-        share = max_rows / total
-        rows = rows.filter(F.pmod("h", F.lit(1_000_003)) < int(share * 1_000_003)).limit(max_rows)
-    sample = materialize(rows.select("text", "label").repartition(max(1, spark.sparkContext.defaultParallelism)), "toxic-sample")
-    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    rows = materialize(labelled.filter(F.col(label_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label")
+    ), "toxic-labelled")
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return ToxicityModel(np.zeros(1 << BUCKET_BITS, np.float32), float(np.log((n1 + 1) / (n0 + 1))), ngrams)
-    counts = sample.mapInArrow(_counts(ngrams), "bucket int, toxic long, clean long").groupBy("bucket").agg(
+    sample = smallest_by_hash(rows, max_rows).select("text", "label").repartition(max(1, spark.sparkContext.defaultParallelism))
+    counts = rows.select("text", "label").mapInArrow(_counts(ngrams), "bucket int, toxic long, clean long").groupBy("bucket").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
     ).toArrow()  # as many rows as buckets at most
     b, c1, c0 = (counts.column(k).to_numpy() for k in ("bucket", "toxic", "clean"))
