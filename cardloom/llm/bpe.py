@@ -156,8 +156,7 @@ def encode(
     rows share is encoded once. Other columns are kept, but for one named
     ``out``, which gives way. The ranks file must exist on every machine.
     """
-    if out in df.columns:
-        df = df.drop(out)
+    df = df.drop(out)
     long_text = F.coalesce(F.char_length(text_col) > chunk_chars, F.lit(False))
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
     short = df.filter(~long_text).mapInArrow(_encode_batches(path, pattern, text_col, out), schema)
@@ -188,8 +187,7 @@ def _decode_batches(path: str, ids_col: str, out: str):
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with ``out``, the concatenated raw bytes of each row's ids; null or no ids: no bytes."""
-    if out in df.columns:
-        df = df.drop(out)
+    df = df.drop(out)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())])
     return df.mapInArrow(_decode_batches(path, ids_col, out), schema)
 

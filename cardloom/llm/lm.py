@@ -291,7 +291,7 @@ def _noted(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
-def _score(at: int, shared):
+def _score(at: int, shared, rest_col: str):
     """``shared``: the filter's only slice; if there are more, the model, and the column after ``at`` has the levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +329,7 @@ def _score(at: int, shared):
                 columns = [pa.array(np.diff(np.concatenate([[0], stops]))), pa.array(n_known), pa.array(base), pa.array(score), rest]
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:at], *columns],
-                    names=[*batch.schema.names[:at], "n_tokens", "n_known", "base_score", "score", "rest"],
+                    names=[*batch.schema.names[:at], "n_tokens", "n_known", "base_score", "score", rest_col],
                 )
 
     return run
@@ -347,7 +347,8 @@ def score(df: DataFrame, fitted: FittedModel, text_col: str = "text") -> DataFra
     outputs = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
     kept = df.drop(text_col, "train_tokens", *(n for n, _ in outputs))
     listed = df.select(*(df[c] for c in kept.columns), tokens(F.col(text_col)).alias(fresh(kept, "tokens_of_text")))
-    schema = T.StructType([*kept.schema.fields, *(T.StructField(n, t) for n, t in outputs), T.StructField("rest", T.ArrayType(T.LongType()))])
+    rest_col, row_col = fresh(kept, "rest"), fresh(kept, "row")
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(n, t) for n, t in outputs), T.StructField(rest_col, T.ArrayType(T.LongType()))])
     context = df.sparkSession.sparkContext
     if m.slices == 1:
         shared = context.broadcast(_slice(fitted, 0))
@@ -358,12 +359,13 @@ def score(df: DataFrame, fitted: FittedModel, text_col: str = "text") -> DataFra
             listed = materialize(listed.mapInArrow(_note(len(kept.columns), held), listed.schema), "levels")
             held.destroy()
         shared = context.broadcast(m)
-    first = listed.mapInArrow(_score(len(kept.columns), shared), schema).withColumn("row", F.monotonically_increasing_id())
+    first = listed.mapInArrow(_score(len(kept.columns), shared, rest_col), schema).withColumn(row_col, F.monotonically_increasing_id())
     first = materialize(first, "scores")  # row numbers hold from here on
-    rest = first.filter(F.size("rest") > 0).select("row", F.explode("rest").alias("h"))
+    rest = first.filter(F.size(rest_col) > 0).select(F.col(row_col).alias("row"), F.explode(rest_col).alias("h"))
     more = F.log10((F.col("c") + 0.5) / 0.5)
     added = rest.join(fitted.vocabulary, "h").groupBy("row").agg(F.sum(more).alias("more"), F.count("*").alias("found"))
-    return first.drop("rest").join(added, "row", "left").select(
-        *(F.col(f"`{c}`") for c in kept.columns), "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
-        F.lit(m.train_tokens).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+    both = first.drop(rest_col).join(added, first[row_col] == added["row"], "left")
+    return both.select(
+        *(first[f"`{c}`"] for c in kept.columns), first["n_tokens"], (first["n_known"] + F.coalesce(added["found"], F.lit(0))).alias("n_known"),
+        F.lit(m.train_tokens).cast("long").alias("train_tokens"), (first["base_score"] + F.coalesce(added["more"], F.lit(0.0))).alias("base_score"), first["score"],
     )
