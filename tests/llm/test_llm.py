@@ -215,8 +215,8 @@ def test_decontamination(spark, docs):
     swapped = item.replace("zeta", "ZZ").replace("xi", "QQ")
     df = docs.unionByName(spark.createDataFrame([(10, "before " + swapped + " after", ""), (11, " ".join(item.split()[:10]), ""), (12, item.upper(), "")], DOCS))
     bench = spark.createDataFrame([(1, item), (2, None), (3, "too short")], "item_id long, text string")
-    for size in (2_000_000, 1):
-        got = {r.doc_id: r for r in decontam.find_contamination(df, bench, slice_tokens=size).collect()}
+    for size in (250_000, 0):
+        got = {r.doc_id: r for r in decontam.find_contamination(df, bench, broadcast_tokens=size).collect()}
         assert {k for k, r in got.items() if r.contaminated} == {10, 12} and got[10].items == [1] and abs(got[10].overlap - 0.9) < 1e-9
 
 
@@ -225,6 +225,6 @@ def test_decontamination_of_a_trimmed_item_between_rows(spark):
     bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     texts = [(1, "some other words come before"), (2, " ".join(words[1:-1])), (3, "and others after it"), (4, None), (5, " ".join(words[4:-3])), (6, " ".join(words[:20])), (7, " ".join(words[20:]))]
     one = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
-    for df in (one, one.repartition(7, "doc_id")):
-        got = {r.doc_id: r for r in decontam.find_contamination(df, bench).collect()}
+    for df, most in ((one, 250_000), (one.repartition(7, "doc_id"), 250_000), (one, 0)):
+        got = {r.doc_id: r for r in decontam.find_contamination(df, bench, broadcast_tokens=most).collect()}
         assert {k: (r.items, round(r.overlap, 4)) for k, r in got.items() if r.contaminated} == {2: ([1], round(36 / 38, 4)), 5: ([1], round(31 / 38, 4))}
