@@ -4,29 +4,32 @@ Templates (phrases and notices) are token sets. Tokens are ordered by their
 frequency in the whole corpus, rare ones first. A text's words are taken in
 overlapping blocks, long enough that any stretch as long as the longest
 template lies inside one. A block matches a template if it holds at least the
-template's threshold share of its tokens; it must then share a token with the
-template's prefix, the ``size - needed + 1`` rarest ones, be long enough, and
-have enough tokens left after the first shared one. Only blocks that pass
-these filters are compared. Phrases must also stand word by word.
-
-The template side is a parameter of the scan. It rides in the plan in groups
-of at most ``GROUP`` templates, as a broadcast of that size would; a larger
-library makes further groups, not a larger one.
+template's threshold share of its tokens; it must then hold one of the
+template's prefix, the ``size - needed + 1`` rarest tokens. So blocks are
+joined token by token with the templates' prefixes. A pair counts where it
+meets first, in the global order; it must have enough tokens (length) and
+enough of them after the meeting (position) before the tokens are compared.
+Phrases must also stand word by word.
+
+The templates are a table, broadcast up to ``BROADCAST_TOKENS`` tokens and
+shuffled beyond.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import ascii_lower, let, nonempty
+from cardloom.llm.common import ascii_lower, fresh, let, literal_rows, nonempty
 
 #: Everything between words (after lower-casing A-Z): ASCII but for digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-GROUP = 64
+#: Tokens of a template table that is broadcast.
+BROADCAST_TOKENS = 1_000_000
+#: Tokens that are looked up within a row before the join; where there are more, the join alone decides.
+LOOKED_UP = 20_000
 
 
 @dataclass(frozen=True)
@@ -67,95 +70,54 @@ def words_of(text: Column) -> Column:
     return nonempty(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN))
 
 
+def _sized(rows: DataFrame, tokens: int) -> DataFrame:
+    return F.broadcast(rows) if tokens <= BROADCAST_TOKENS else rows
+
+
 def token_order(df: DataFrame, text_col: str, templates: tuple[Template, ...]) -> list[str]:
     """The templates' tokens, rare ones first, by their counts in all of ``df`` (ties by token)."""
     vocabulary = sorted({w for t in templates for w in t.words})
-    wanted = F.array(*map(F.lit, vocabulary))
-    words = df.select(F.explode(F.filter(words_of(F.col(text_col)), lambda w: F.array_contains(wanted, w))).alias("token"))
-    counts = {r["token"]: r["n"] for r in words.groupBy("token").agg(F.count("*").alias("n")).collect()}  # at most the vocabulary
+    known = _sized(literal_rows(df.sparkSession, [(w,) for w in vocabulary], "token string"), len(vocabulary))
+    words = df.select(F.explode(words_of(F.col(text_col))).alias("token"))
+    counts = {r["token"]: r["n"] for r in words.join(known, "token").groupBy("token").agg(F.count("*").alias("n")).collect()}  # at most the vocabulary
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def _literal(values) -> Column:
-    return F.array(*map(F.lit, values))
-
-
-def _compare(tokens: Column, block: Column, i: int, template: Template, ranked: list[str], prefix: list[str]) -> Column:
-    """A block's tokens (rare first) against template ``i``: its match, or null if a filter or the count rules it out."""
-    own = _literal(ranked)
-
-    def filters(shared: Column) -> Column:
-        first = F.get(shared, F.lit(0))
-        left = lambda side: F.size(side) - F.array_position(side, first) + 1
-        possible = (
-            (F.size(shared) > 0)
-            & (F.size(tokens) >= template.needed)  # length
-            & (left(tokens) >= template.needed) & (left(own) >= template.needed)  # position
-        )
-        return F.when(possible, F.size(F.array_intersect(tokens, own))).otherwise(F.lit(0))
-
-    def match(n: Column) -> Column:
-        return F.when(n >= template.needed, F.struct(F.lit(i).alias("template"), block.alias("block"), (n / len(ranked)).alias("share")))
-
-    return let(let(F.array_intersect(tokens, _literal(prefix)), filters), match)
-
-
-def _matches(words: Column, group: tuple[Template, ...], order: dict[str, int], step: int) -> Column:
-    """(template, block, share) of each block of ``words`` that holds enough of a template of ``group``."""
-    prefixes = []
-    for t in group:
-        ranked = sorted(set(t.words), key=order.__getitem__)
-        prefixes.append((t, ranked, ranked[: len(ranked) - t.needed + 1]))
-    all_prefix = sorted({w for _, _, p in prefixes for w in p})
-    vocabulary = sorted({w for t in group for w in t.words}, key=order.__getitem__)
-
-    def in_block(block: Column, b: Column) -> Column:
-        """The block's tokens that templates know, in global order, against each template's filters."""
-        tokens = F.array_intersect(_literal(vocabulary), block)  # keeps the first one's order: rare first
+def _postings(df: DataFrame, templates: tuple[Template, ...], order: list[str]) -> tuple[DataFrame, list[str]]:
+    """A row per prefix token of each template: token, its place, the template; and all prefix tokens."""
+    rank, rows = {w: i for i, w in enumerate(order)}, []
+    for i, t in enumerate(templates):
+        ranked = sorted(set(t.words), key=rank.__getitem__)
+        rows += [(w, k, i, t.needed, ranked, list(t.words) if t.exact else None) for k, w in enumerate(ranked[: len(ranked) - t.needed + 1])]
+    table = literal_rows(df.sparkSession, rows, "token string, place int, template int, needed int, ranked array<string>, phrase array<string>")
+    return _sized(table, sum(len(r[4]) for r in rows)), sorted({r[0] for r in rows})
 
-        def against(tokens: Column) -> Column:
-            found = F.array(*(_compare(tokens, b, i, *parts) for i, parts in enumerate(prefixes)))
-            return F.filter(found, lambda m: m.isNotNull())
 
-        return let(tokens, against)
+def matching_blocks(texts: DataFrame, templates: tuple[Template, ...], order: list[str], step: int) -> DataFrame:
+    """(key, template, block, share, starts) of the ``texts`` (key, words): each block that holds enough of a template.
 
-    def blocks(words: Column) -> Column:
-        count = F.ceil(F.size(words) / step).cast("int")
-        return F.flatten(F.transform(
-            F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))),
-            lambda b: in_block(F.slice(words, b * step + 1, F.lit(2 * step)), b),
-        ))
-
-    empty = F.array().cast("array<struct<template:int,block:int,share:double>>")
-    return F.when(F.arrays_overlap(words, _literal(all_prefix)), blocks(words)).otherwise(empty)
-
-
-def _places(words: Column, matches: Column, i: int, template: Template, step: int) -> Column:
-    """Starts of an exact template's words, in the blocks that matched it; each start belongs to one block."""
-    hit = F.array_distinct(F.transform(F.filter(matches, lambda m: m["template"] == i), lambda m: m["block"]))
-    stands = lambda p: reduce(lambda a, b: a & b, [F.get(words, p + j) == F.lit(w) for j, w in enumerate(template.words)])
-    return F.flatten(F.transform(hit, lambda b: F.filter(
-        F.sequence(b * step, F.least((b + 1) * step, F.size(words)) - 1), lambda p: F.coalesce(stands(p), F.lit(False))
-    )))
-
-
-def _group_result(words: Column, group: tuple[Template, ...], order: dict[str, int], step: int) -> Column:
-    labels = _literal([t.label for t in group])
-    loose = F.array(*(F.lit(i) for i, t in enumerate(group) if not t.exact)).cast("array<int>")
-
-    def split(found: Column) -> Column:
-        places = [
-            F.struct(F.lit(t.label).alias("label"), _places(words, found, i, t, step).alias("starts"))
-            for i, t in enumerate(group) if t.exact
-        ]
-        matches = F.transform(
-            F.filter(found, lambda m: F.array_contains(loose, m["template"])),
-            lambda m: F.struct(F.get(labels, m["template"]).alias("label"), (m["block"] * step).alias("start"), m["share"].alias("share")),
-        )
-        empty = F.array().cast("array<struct<label:string,starts:array<int>>>")
-        return F.struct((F.array(*places) if places else empty).alias("places"), matches.alias("matches"))
-
-    return let(_matches(words, group, order, step), split)
+    ``starts``: where a phrase's words stand, each start in one block; empty
+    for other templates.
+    """
+    postings, prefix = _postings(texts, templates, order)
+    among = lambda tokens, known: F.filter(tokens, lambda w: w.isin(known)) if len(known) <= LOOKED_UP else tokens
+    if len(prefix) <= LOOKED_UP:
+        texts = texts.filter(F.exists("words", lambda w: w.isin(prefix)))
+    last = F.greatest(F.ceil(F.size("words") / step).cast("int") - 1, F.lit(0))
+    parts = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice("words", b * step + 1, F.lit(2 * step)))
+    blocks = texts.select("key", F.posexplode(parts).alias("block", "part")).withColumn("tokens", F.array_distinct("part"))
+    met = blocks.select("*", F.explode(among(F.col("tokens"), prefix)).alias("token")).join(postings, "token")
+    enough = F.size("tokens") >= F.col("needed")
+    if len(order) <= LOOKED_UP:  # the block's known tokens in global order, and what is left of them from the meeting on
+        ranked = F.array_intersect(F.array(*map(F.lit, order)), F.col("tokens"))
+        enough = enough & let(ranked, lambda own: F.size(own) - F.array_position(own, F.col("token")) + 1 >= F.col("needed"))
+    enough = enough & (F.size("ranked") - F.col("place") >= F.col("needed"))
+    shared = F.array_intersect("ranked", "tokens")
+    held = met.filter(enough).withColumn("shared", shared).filter((F.size("shared") >= F.col("needed")) & (F.get("shared", F.lit(0)) == F.col("token")))
+    first = F.sequence(F.lit(0), F.least(F.lit(step), F.size("part")) - 1)
+    stands = F.filter(first, lambda p: F.slice("part", p + 1, F.size("phrase")) == F.col("phrase"))
+    starts = F.when(F.col("phrase").isNotNull(), F.transform(stands, lambda p: p + F.col("block") * step)).otherwise(F.array().cast("array<int>"))
+    return held.select("key", "template", "block", (F.size("shared") / F.size("ranked")).alias("share"), starts.alias("starts"))
 
 
 def scan(
@@ -163,24 +125,32 @@ def scan(
 ) -> DataFrame:
     """``df`` with n_words, places (per phrase: label, starts), matches (label, block start, share).
 
-    Null and empty texts have no words. Every row is treated on its own, so
-    repeated rows and rows of any id stay as they are, and nothing is
-    shuffled but the tokens' counts. Columns of ``df`` with the outputs' names
-    give way.
+    Null and empty texts have no words and no matches. Repeated rows and rows
+    of any id stay as they are: texts are told apart by their digest, by which
+    the matches are joined back. Columns of ``df`` with the outputs' names
+    give way. Three scans; a text is shuffled only if the caller keeps it.
     """
     templates = (*phrases, *notices)
-    step = max(len(t.words) for t in templates)
-    order = {w: i for i, w in enumerate(token_order(df, text_col, templates))}
+    step = max((len(t.words) for t in templates), default=1)
     df = df.drop("n_words", "places", "matches")
-
-    def results(words: Column) -> Column:
-        groups = [templates[at : at + GROUP] for at in range(0, len(templates), GROUP)]
-        found = F.array(*(_group_result(words, g, order, step) for g in groups))
-        return let(found, lambda parts: F.struct(
-            F.size(words).cast("long").alias("n_words"),
-            F.flatten(F.transform(parts, lambda p: p["places"])).alias("places"),
-            F.flatten(F.transform(parts, lambda p: p["matches"])).alias("matches"),
-        ))
-
-    whole = let(words_of(F.col(text_col)), results)
-    return df.withColumn("scan_result", whole).select(*[F.col(f"`{c}`") for c in df.columns], "scan_result.*")
+    key, n_words, found = fresh(df, "text_key"), fresh(df, "n_words"), fresh(df, "found")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    digest, words = F.unhex(F.sha2(text, 256)), words_of(text)
+    order = token_order(df, text_col, templates)
+    blocks = matching_blocks(df.select(digest.alias("key"), words.alias("words")), templates, order, step)
+    each = F.struct("template", "block", "share", "starts")
+    by_text = blocks.groupBy("key").agg(F.array_sort(F.collect_set(each)).alias("found")).toDF(key, found)  # of one text
+    names = [t.label for t in templates]
+    label = lambda i: F.get(F.array(*map(F.lit, names)), i)
+    none = F.array().cast("array<struct<template:int,block:int,share:double,starts:array<int>>>")
+
+    def place(i: Column) -> Column:
+        own = F.flatten(F.transform(F.filter(F.col(found), lambda m: m["template"] == i), lambda m: m["starts"]))
+        return F.struct(label(i).alias("label"), own.alias("starts"))
+
+    loose = F.filter(F.col(found), lambda m: m["template"] >= len(phrases))
+    matches = F.transform(loose, lambda m: F.struct(label(m["template"]).alias("label"), (m["block"] * step).alias("start"), m["share"].alias("share")))
+    places = F.transform(F.array(*map(F.lit, range(len(phrases)))).cast("array<int>"), place)
+    counted = df.withColumns({key: digest, n_words: F.size(words).cast("long")})
+    joined = counted.join(by_text, key, "left").withColumn(found, F.coalesce(found, none))
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns), F.col(n_words).alias("n_words"), places.alias("places"), matches.alias("matches"))
