@@ -4,8 +4,10 @@
 the writer's manifest lists (per file where there is no manifest), pushes
 predicates on record type and headers into the scan, parses a record's headers
 first, and steps over the payload of a record that the predicates reject or
-whose payload columns the read schema leaves out. Plain and record-wise
-gzipped archives are read and written alike.
+whose payload columns the read schema leaves out. Plain and gzipped archives
+are read and written alike. Written records are gzip members that state both
+their lengths (the skip-length field of the WARC standard), so that what isn't
+wanted isn't inflated; archives without that field are inflated throughout.
 
 ``df.write.format("warc").mode("append")`` writes the columns of
 :data:`WRITE_SCHEMA`. A task's files count only once the job's manifest names
@@ -21,6 +23,7 @@ import io
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -82,6 +85,88 @@ def _column(name: str, headers: dict[str, str]) -> str | None:
     return value.removeprefix("sha1:") if name == "payload_digest" else value
 
 
+def member(data: bytes) -> bytes:
+    """A gzip member with the skip-length field: its own length and that of ``data``."""
+    deflate = zlib.compressobj(1, zlib.DEFLATED, -zlib.MAX_WBITS)
+    body = deflate.compress(data) + deflate.flush()
+    size = len(body) + 32
+    if max(size, len(data)) >= 1 << 32:  # too long for the field
+        return gzip.compress(data, 1, mtime=0)
+    number = lambda n, width=4: n.to_bytes(width, "little")
+    extra = b"sl" + number(8, 2) + number(size) + number(len(data))
+    return b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff" + number(len(extra), 2) + extra + body + number(zlib.crc32(data)) + number(len(data))
+
+
+class Inflated:
+    """A gzipped archive as plain bytes, inflated as far as they are read.
+
+    ``skip`` steps over what is left of a member whose lengths are stated.
+    ``raw`` stands at a member's start.
+    """
+
+    def __init__(self, raw: io.BufferedReader):
+        self.raw, self.inflater, self.held, self.inflated = raw, None, b"", 0
+
+    def _next(self) -> bool:
+        self.start, self.given, self.rest, self.sizes = self.raw.tell(), 0, b"", None
+        head = self.raw.read(12)
+        if len(head) < 12:
+            return False
+        if head[:3] != b"\x1f\x8b\x08":
+            raise ValueError(f"not a gzip member: {head!r}")
+        if head[3] & 4:
+            extra = self.raw.read(int.from_bytes(head[10:12], "little"))
+            at = extra.find(b"sl\x08\x00")
+            if at >= 0:
+                self.sizes = int.from_bytes(extra[at + 4 : at + 8], "little"), int.from_bytes(extra[at + 8 : at + 12], "little")
+        self.raw.seek(self.start)
+        self.inflater = zlib.decompressobj(16 + zlib.MAX_WBITS)
+        return True
+
+    def _more(self, most: int) -> bytes:
+        """Up to ``most`` further bytes; none at the end."""
+        while self.inflater is not None or self._next():
+            data = self.rest or self.raw.read(1 << 14)
+            out = self.inflater.decompress(data, most)
+            self.rest = self.inflater.unconsumed_tail
+            if self.inflater.eof:
+                self.raw.seek(-len(self.inflater.unused_data), 1)
+                self.inflater = None
+            elif not data:
+                raise EOFError("the archive ends within a gzip member")
+            if out:
+                self.given, self.inflated = self.given + len(out), self.inflated + len(out)
+                return out
+        return b""
+
+    def read(self, n: int) -> bytes:
+        while len(self.held) < n and (more := self._more(n - len(self.held))):
+            self.held += more
+        out, self.held = self.held[:n], self.held[n:]
+        return out
+
+    def readline(self, most: int = 1 << 30) -> bytes:
+        while b"\n" not in self.held and len(self.held) < most and (more := self._more(1024)):
+            self.held += more
+        end = self.held.find(b"\n") + 1 or len(self.held)
+        return self.read(min(end, most))
+
+    def skip(self, n: int) -> None:
+        n -= len(self.read(min(n, len(self.held))))
+        while n and (self.inflater is not None or self._next()):
+            left = self.sizes[1] - self.given if self.sizes else None
+            if left is not None and n >= left:
+                self.raw.seek(self.start + self.sizes[0])
+                self.inflater, n = None, n - left
+            else:
+                n -= len(self._more(min(n, 1 << 16)))
+
+
+class Plain(io.BufferedReader):
+    def skip(self, n: int) -> None:
+        self.seek(n, 1)
+
+
 @dataclass
 class Stretch(InputPartition):
     path: str
@@ -138,7 +223,7 @@ class WarcReader(DataSourceReader):
         want_http = want_payload or "payload_bytes" in self.columns
         with fs.open_input_file(part.path) as raw:
             raw.seek(part.offset)
-            f = gzip.GzipFile(fileobj=raw) if part.path.endswith(".gz") else io.BufferedReader(raw, 1 << 20)
+            f = Inflated(io.BufferedReader(raw, 1 << 16)) if part.path.endswith(".gz") else Plain(raw, 1 << 20)
             n = 0
             while part.records is None or n < part.records:
                 headers = read_headers(f)
@@ -161,7 +246,7 @@ class WarcReader(DataSourceReader):
                         row["payload"] = f.read(left)
                         left = 0
                         row["digest_ok"] = row["payload_digest"] == base32_sha1(row["payload"])
-                f.seek(left + 4, 1)  # what is left of the block, and the two line ends after it
+                f.skip(left + 4)  # what is left of the block, and the two line ends after it
                 if row is not None:
                     yield tuple(row[c] for c in self.columns)
 
@@ -217,7 +302,7 @@ class WarcWriter(DataSourceArrowWriter):
                     if not entry["stretches"] or at - entry["stretches"][-1][0] >= self.stretch_bytes:
                         entry["stretches"].append([at, 0])
                     data = record(row, self.date)
-                    data = gzip.compress(data, 1, mtime=0) if self.compress else data
+                    data = member(data) if self.compress else data
                     out.write(data)
                     at += len(data)
                     entry["stretches"][-1][1] += 1
