@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardloom.llm.common import fresh, partitions
+from cardloom.llm.common import fresh, partitions, small_batches
 
 #: Code points past a match that the pattern may look at to decide it.
 LOOK_AHEAD = 4
@@ -156,6 +156,7 @@ def encode(
     rows share is encoded once. Other columns are kept, but for one named
     ``out``, which gives way. The ranks file must exist on every machine.
     """
+    small_batches(df.sparkSession)
     df = df.drop(out)
     long_text = F.coalesce(F.char_length(text_col) > chunk_chars, F.lit(False))
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
@@ -187,6 +188,7 @@ def _decode_batches(path: str, ids_col: str, out: str):
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with ``out``, the concatenated raw bytes of each row's ids; null or no ids: no bytes."""
+    small_batches(df.sparkSession)
     df = df.drop(out)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())])
     return df.mapInArrow(_decode_batches(path, ids_col, out), schema)

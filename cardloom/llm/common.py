@@ -6,8 +6,11 @@ import json
 import string
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,5 +106,36 @@ def nonempty(words: Column) -> Column:
     return F.filter(words, lambda w: w != F.lit(""))
 
 
+#: Rows of an Arrow batch between Spark and its Python workers.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Arrow batches hold no more than :data:`BATCH_ROWS` rows, so that workers and executors hold less at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def stretches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Rows (from, to) of about ``most`` in all by ``sizes``, one at least."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield start, stop
+        start = stop
+
+
+def released(run):
+    """A function for mapInArrow that gives unused memory back to the system when a task ends."""
+
+    @wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardloom.llm.common import fresh, materialize, nonempty
+from cardloom.llm.common import fresh, materialize, nonempty, small_batches
 
 #: Positions of a window that each mask looks at (fixed values). Six tokens each:
 #: any window with up to two replaced words in a row is met by one of them.
@@ -243,6 +243,7 @@ def find_contamination(
     in 20 the masks miss 2 in 4,845.
     """
     spark = df.sparkSession
+    small_batches(spark)
     df = df.drop(*(x.split(" ")[0] for x in RESULT.split(", ")))
     items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("id"), tokens(F.col(item_text_col)).alias("t"))
     items = materialize(items.filter(F.size("t") >= least), "benchmark")

@@ -26,12 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardloom.llm.common import ascii_lower, fresh, materialize, nonempty
+from cardloom.llm.common import ascii_lower, fresh, materialize, nonempty, released, small_batches, stretches
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 BLOCK_BITS = 12
 MAX_BITS = 29
 PROBES = 4
+#: Tokens that a worker counts, and scores, at once.
+COUNTED, SCORED = 1 << 18, 1 << 16
 LOW = (1 << 40) - 1
 #: Words whose counts are broadcast, the most frequent ones; the others' are joined.
 MAX_HEAD = 1 << 19
@@ -68,6 +70,12 @@ def ngrams(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return scramble(token), scramble(before), pair, stops
 
 
+def _blocks(batch: pa.RecordBatch, at: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in stretches of about ``most`` tokens of the lists in column ``at``."""
+    for a, b in stretches(batch.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) + 1, most):
+        yield batch.slice(a, b - a)
+
+
 def pack(hashes: np.ndarray, counts: np.ndarray) -> bytes:
     """Hashes (their low 40 bits) and counts; those of count 1 without it."""
     one = counts == 1
@@ -89,15 +97,15 @@ def _count(range_bits: int):
     """Rows (range, packed): a batch's distinct n-grams and their counts, by range of hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lists in (b.column(0).slice(start, 4096) for b in batches for start in range(0, b.num_rows, 4096)):
-            token, _, pair, _ = ngrams(lists)
+        for block in (x for b in batches for x in _blocks(b, 0, COUNTED)):
+            token, _, pair, _ = ngrams(block.column(0))
             hashes, counts = np.unique(np.concatenate([token, pair]), return_counts=True)
             edges = np.searchsorted(hashes >> np.uint64(64 - range_bits), np.arange((1 << range_bits) + 1))
             some = np.flatnonzero(np.diff(edges))
             packed = [pack(hashes[edges[r] : edges[r + 1]], counts[edges[r] : edges[r + 1]]) for r in some]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(packed, pa.binary())], names=["range", "packed"])
 
-    return run
+    return released(run)
 
 
 def _merge(table: pa.Table) -> pa.Table:
@@ -130,7 +138,7 @@ def _fill(range_bits: int, bits: int):
                 low, counts = unpack(packed)
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([stretch(r, low, counts, range_bits, bits)], pa.binary())], names=["range", "part"])
 
-    return run
+    return released(run)
 
 
 def stretch(r: int, low: np.ndarray, counts: np.ndarray, range_bits: int, bits: int) -> bytes:
@@ -215,6 +223,7 @@ def fit(train: DataFrame, text_col: str = "text", weight: float = 0.7, bits_per_
     knows nothing.
     """
     spark = train.sparkSession
+    small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     vocabulary = train.select(F.explode(words(text)).alias("w")).groupBy("w").agg(F.count("*").alias("c")).select(F.xxhash64("w").alias("h"), "c")
     vocabulary = materialize(vocabulary, "vocabulary")
@@ -272,8 +281,7 @@ def _note(at: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
         for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                batch = whole.slice(start, 2048)
+            for batch in _blocks(whole, at, SCORED):
                 token, _, pair, stops = ngrams(batch.column(at))
                 both = s.levels(token), s.levels(pair)
                 noted = []
@@ -282,7 +290,7 @@ def _note(at: int, shared):
                     noted.append((new | np.frombuffer(old.as_py(), np.uint8) if len(old.as_buffer()) else new).tobytes())
                 yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], pa.array(noted, pa.binary())], names=batch.schema.names)
 
-    return run
+    return released(run)
 
 
 def _noted(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,8 +306,7 @@ def _score(at: int, shared, rest_col: str):
         s = shared.value
         m = s.model if isinstance(s, Slice) else s
         for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                batch = whole.slice(start, 2048)
+            for batch in _blocks(whole, at, SCORED):
                 lists = batch.column(at)
                 token, before, pair, stops = ngrams(lists)
                 starts = np.concatenate([[0], stops[:-1]])
@@ -332,7 +339,7 @@ def _score(at: int, shared, rest_col: str):
                     names=[*batch.schema.names[:at], "n_tokens", "n_known", "base_score", "score", rest_col],
                 )
 
-    return run
+    return released(run)
 
 
 def score(df: DataFrame, fitted: FittedModel, text_col: str = "text") -> DataFrame:
@@ -344,6 +351,7 @@ def score(df: DataFrame, fitted: FittedModel, text_col: str = "text") -> DataFra
     each, and summed by row.
     """
     m = fitted.model
+    small_batches(df.sparkSession)
     outputs = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
     kept = df.drop(text_col, "train_tokens", *(n for n, _ in outputs))
     listed = df.select(*(df[c] for c in kept.columns), tokens(F.col(text_col)).alias(fresh(kept, "tokens_of_text")))

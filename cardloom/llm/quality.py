@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import fresh, materialize, smallest_by_hash
+from cardloom.llm.common import fresh, materialize, small_batches, smallest_by_hash
 
 STATISTICS = ("symbols", "capitals", "repeats", "repeated_lines", "bars", "word_length", "digits")
 FEATURES = 1 << 16
@@ -183,6 +183,7 @@ def fit(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_rows:
     in the sample, each time in the accuracies.
     """
     spark = df.sparkSession
+    small_batches(spark)
     rows = df.select(statistics(F.col(text_col)).alias("s"))
     names = [f"v{j}" for j in range(len(votes(F.col("s"))))]
     voted = rows.select(F.col("s.n_words").isNotNull().alias("told"), *(v.alias(n) for v, n in zip(votes(F.col("s")), names)))
@@ -208,6 +209,7 @@ def score(df: DataFrame, model: QualityModel, text_col: str = "text", threshold:
 
     Texts without words (null, empty, blank) have quality 0.
     """
+    small_batches(df.sparkSession)
     df = df.drop("quality", "keep")
     if model.scorer is None:
         return df.withColumns({"quality": F.lit(0.0), "keep": F.lit(0)})

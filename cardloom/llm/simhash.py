@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardloom.llm.common import fresh, materialize
+from cardloom.llm.common import fresh, materialize, released, small_batches
 from cardloom.llm.components import connected_components
 from cardloom.llm.lm import scramble
 from cardloom.llm.prefix import all_pairs, first_pairs, prefix_keys
@@ -63,7 +63,7 @@ def _fingerprints(text_col: str, words: int):
                 names=[*(n for i, n in enumerate(batch.schema.names) if i != at), "fp"],
             )
 
-    return run
+    return released(run)
 
 
 def remainder(values: np.ndarray, bits: int, check: int, polynomial: int) -> np.ndarray:
@@ -133,7 +133,7 @@ def _anchors(threshold: int | None):
                 taken = batch.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([pa.array((anchors | (half << 16)).astype(np.int32)), *taken.columns], names=["anchor", *batch.schema.names])
 
-    return run
+    return released(run)
 
 
 def _at_anchors(nodes: DataFrame, threshold: int | None, suffix: str) -> DataFrame:
@@ -182,6 +182,7 @@ def near_duplicates(
     null ids are never a component's id (one of null ids alone has a null id);
     repeated rows get a row each; only the two columns are read.
     """
+    small_batches(df.sparkSession)
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("fp", T.LongType())])
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = materialize(rows.mapInArrow(_fingerprints("text", words), schema), "simhash")
@@ -215,7 +216,7 @@ def _distinct_words(seeds: tuple[int, ...]):
                 names=["id", "same", *(f"fp{k}" for k in range(len(seeds)))],
             )
 
-    return run
+    return released(run)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -236,7 +237,7 @@ def _shingle_sets(words: int):
             sets = [shingles(text.as_py(), words).tobytes() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
-    return run
+    return released(run)
 
 
 def _similar(similarity: float):
@@ -249,7 +250,7 @@ def _similar(similarity: float):
                 good[i] = both >= similarity * (len(x) + len(y) - both)
             yield batch.select([0, 1]).filter(pa.array(good))
 
-    return run
+    return released(run)
 
 
 def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -281,6 +282,7 @@ def similar_documents(
     get a null component_id. Ids should be unique.
     """
     kind = df.schema[id_col].dataType
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     fps = [f"fp{k}" for k in range(len(seeds))]
     schema = T.StructType([T.StructField("id", kind), T.StructField("same", T.BinaryType()), *(T.StructField(f, T.LongType()) for f in fps)])

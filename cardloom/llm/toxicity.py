@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardloom.llm.common import materialize, smallest_by_hash
+from cardloom.llm.common import materialize, released, small_batches, smallest_by_hash
 
 BUCKET_BITS = 20
 #: Code points hashed at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Entries of the sample's sparse rows that a step of the fit takes at once.
 ENTRIES = 1 << 19
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -96,7 +96,7 @@ def _counts(ngrams: tuple[int, ...]):
         some = np.flatnonzero(held.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(held[1, some]), pa.array(held[0, some])], names=["bucket", "toxic", "clean"])
 
-    return run
+    return released(run)
 
 
 def _rows(ngrams: tuple[int, ...], chosen):
@@ -115,7 +115,7 @@ def _rows(ngrams: tuple[int, ...], chosen):
                     found[i] = number[part].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(found, pa.binary())], names=["label", "features"])
 
-    return run
+    return released(run)
 
 
 def logistic(sizes: np.ndarray, columns: np.ndarray, values: np.ndarray, labels: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
@@ -175,6 +175,7 @@ def fit(
     if max_features > 1 << 16:
         raise ValueError("features are numbered in two bytes")
     spark = labelled.sparkSession
+    small_batches(spark)
     rows = materialize(labelled.filter(F.col(label_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label")
     ), "toxic-labelled")
@@ -219,11 +220,12 @@ def _scores(text_col: str, model):
             score = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "toxicity"])
 
-    return run
+    return released(run)
 
 
 def score(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """``df`` with toxicity (0 to 1); null and empty texts get the bias' score; a column of that name gives way."""
+    small_batches(df.sparkSession)
     df = df.drop("toxicity")
     schema = T.StructType([*df.schema.fields, T.StructField("toxicity", T.DoubleType())])
     return df.mapInArrow(_scores(text_col, df.sparkSession.sparkContext.broadcast(model)), schema)
