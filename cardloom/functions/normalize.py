@@ -69,7 +69,7 @@ def city(address: Column) -> Column:
 
 def wikilinks(text: Column) -> Column:
     """Targets of [[target]] and [[target|shown]] in order, repeats included."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WIKILINK), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WIKILINK), F.lit(1)), lambda x: F.trim(x))
 
 
 def path_bucket(path: Column) -> Column:

@@ -30,7 +30,7 @@ def filter_cards(
 
 def query_cards(cards: DataFrame, limit: int, **filters) -> DataFrame:
     """Newest first, cards without a date before all others, then by path."""
-    found = filter_cards(cards, **filters).select("rel_path", "summary", "type", "activity_at").distinct()
+    found = filter_cards(cards, **filters).select("rel_path", "summary", "type", "activity_at")
     return found.orderBy(F.col("activity_at").desc_nulls_first(), "rel_path").limit(limit)
 
 
@@ -68,33 +68,26 @@ def stats(cards: DataFrame, column: str) -> DataFrame:
 
 
 def duplicate_uids(rows: DataFrame) -> DataFrame:
-    """Paths that lost their uid to another card: the smallest path keeps it."""
-    by_uid = Window.partitionBy("uid")
-    return rows.withColumns({"group_size": F.count("*").over(by_uid), "kept_path": F.min("rel_path").over(by_uid)}).filter(
-        "group_size > 1 and rel_path <> kept_path"
-    ).select("uid", F.col("rel_path").alias("duplicate_path"), "kept_path", "group_size")
-
-
-def quality_flags(cards: DataFrame) -> DataFrame:
-    """quality_flags and quality_score: a fifth off for each flag."""
-    flag = lambda test, name: F.when(test, F.lit(name))
-    flags = F.array_compact(F.array(
-        flag(F.coalesce(F.trim("summary"), F.lit("")) == "", "empty_summary"), flag(F.col("activity_at").isNull(), "no_activity"),
-        flag(F.length("summary") < 10, "short_summary"),
-    ))
-    return cards.withColumn("quality_flags", flags).withColumn("quality_score", F.round(1 - F.size("quality_flags") / 5, 4))
-
-
-def quality_report(cards: DataFrame) -> DataFrame:
-    q = quality_flags(cards)
-    return q.groupBy("type").agg(
+    """Paths that lost their uid to another card: one without a hash at its end keeps it before others, then a shorter, then a smaller path.
+
+    The winner and the group's size are aggregated before they are joined
+    back, so that no task holds all paths of one uid.
+    """
+    order = F.struct(F.col("rel_path").rlike(r"-[0-9a-f]{8}\.md$").alias("hashed"), F.length("rel_path").alias("n"), "rel_path")
+    groups = rows.groupBy("uid").agg(F.min_by("rel_path", order).alias("kept_path"), F.count("*").alias("group_size")).filter("group_size > 1")
+    return rows.join(groups, "uid").filter("rel_path <> kept_path").select("uid", F.col("rel_path").alias("duplicate_path"), "kept_path", "group_size")
+
+
+def quality_report(scored: DataFrame) -> DataFrame:
+    """Per type: n, mean and percentiles of quality_score."""
+    return scored.groupBy("type").agg(
         F.count("*").alias("n"), F.round(F.avg("quality_score"), 6).alias("avg_quality"),
         *(F.round(F.expr(f"percentile_cont({p}) WITHIN GROUP (ORDER BY quality_score)"), 6).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)),
     )
 
 
-def top_flags(cards: DataFrame, most: int = 5) -> DataFrame:
-    counts = quality_flags(cards).select(F.explode("quality_flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+def top_flags(scored: DataFrame, most: int = 5) -> DataFrame:
+    counts = scored.select(F.explode("quality_flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
     return counts.orderBy(F.desc("n"), "flag").limit(most)
 
 
@@ -110,3 +103,32 @@ def classify_timestamp(text: Column) -> Column:
         F.when(t == "", "empty").when(t.rlike(day + "$"), "date_only").when(t.rlike(day + clock + "Z$"), "utc_z")
         .when(t.rlike(day + clock + r"[+-]\d{2}:?\d{2}$"), "offset").when(t.rlike(day + clock + "$"), "naive").otherwise("unparseable")
     )
+
+
+def status(tables: dict[str, DataFrame]) -> DataFrame:
+    """key and value: how many rows each table has."""
+    return reduce(DataFrame.unionByName, (t.agg(F.lit(k).alias("key"), F.count("*").alias("value")) for k, t in tables.items()))
+
+
+def read_many(cards: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The cards of the paths or uids in ``wanted`` (ref), each once."""
+    by = lambda c: cards.join(wanted.select(F.col("ref").alias(c)).distinct(), c, "left_semi")
+    return by("rel_path").unionByName(by("uid")).dropDuplicates(["uid", "rel_path"])
+
+
+def with_prefix(cards: DataFrame, prefix: str) -> DataFrame:
+    """Cards below a folder; on a table partitioned or sorted by path the filter reaches the scan."""
+    return cards.filter(F.col("rel_path").startswith(prefix))
+
+
+def person_by_slug(cards: DataFrame, wanted: DataFrame) -> DataFrame:
+    """slug, and the path of the person of that slug, else of any card of it; null without one."""
+    at = lambda name, rows: rows.groupBy("slug").agg(F.min("rel_path").alias(name))
+    found = wanted.select("slug").distinct().join(at("person", cards.filter("type = 'person'")), "slug", "left").join(at("other", cards), "slug", "left")
+    return found.select("slug", F.coalesce("person", "other").alias("rel_path"))
+
+
+def knowledge_for_domain(knowledge: DataFrame, domain: str, limit: int) -> DataFrame:
+    """The newest fresh card of a domain among its ``5 * limit`` newest ones (uid, domain, activity_at, stale)."""
+    newest = knowledge.filter(F.col("domain") == domain).orderBy(F.col("activity_at").desc_nulls_last(), "uid").limit(5 * limit)
+    return newest.filter("not stale").orderBy(F.col("activity_at").desc_nulls_last(), "uid").limit(1)

@@ -1,8 +1,8 @@
-"""Lexical match, fusion with vector hits, reranking."""
+"""Plain lexical match, and the score of a reranker."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,26 +12,8 @@ def word_tokens(text: Column) -> Column:
 
 def and_match(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """Rows that hold every term, and how often they hold any."""
-    words = docs.select(key, F.explode(F.split(F.lower(F.col(text)), "[^a-z0-9]+")).alias("w")).filter(F.col("w").isin(terms))
-    counts = words.groupBy(key).agg(F.countDistinct("w").alias("distinct_terms"), F.count("*").alias("hits"))
-    return counts.filter(F.col("distinct_terms") == len(set(terms))).select(key, "hits")
-
-
-def fuse(lexical: DataFrame, vector: DataFrame, trust: DataFrame) -> DataFrame:
-    """Full outer union of lexical (uid, lexical, exact) and vector (uid, similarity) hits, scored.
-
-    Trust counts for cards that weren't found exactly; neighbours that neither
-    side found aren't added.
-    """
-    j = lexical.join(vector, "uid", "full_outer").join(trust, "uid", "left")
-    exact, lex, sim = F.coalesce("exact", F.lit(0)), F.coalesce("lexical", F.lit(0.0)), F.coalesce("similarity", F.lit(0.0))
-    both = F.col("lexical").isNotNull() & F.col("similarity").isNotNull()
-    score = (
-        3.0 * exact + F.least(lex, F.lit(1.5)) * F.when(exact > 0, 1.4).otherwise(1.2) + 1.2 * sim
-        + F.when(both, 0.2).otherwise(0.0) + F.when(exact > 0, 0.0).otherwise(0.22 * F.coalesce("trust", F.lit(0.0)))
-    )
-    how = F.when(both, "hybrid").when(F.col("lexical").isNotNull(), "lexical").otherwise("vector")
-    return j.select("uid", how.alias("matched_by"), F.round(score, 6).alias("score"))
+    held = F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), lambda w: w.isin(terms))
+    return docs.select(key, held.alias("held")).filter(F.size(F.array_distinct("held")) == len(set(terms))).select(key, F.size("held").cast("long").alias("hits"))
 
 
 def rerank_score(query: Column, text: Column) -> Column:
@@ -40,10 +22,3 @@ def rerank_score(query: Column, text: Column) -> Column:
     q, t = tokens(query), tokens(text)
     both = F.size(F.array_intersect(q, t))
     return F.round(F.least(F.lit(1.0), 0.5 * both / F.greatest(F.size(q), F.lit(1)) + 0.5 * both / F.greatest(F.size(F.array_union(q, t)), F.lit(1))), 6)
-
-
-def blend(rows: DataFrame, base: str, rerank: str, key: str) -> DataFrame:
-    """Mix of base and rerank score, the base weighing less down the ranking."""
-    r = F.row_number().over(Window.orderBy(F.desc(base), key))  # one query's top candidates
-    w = F.when(r <= 3, 0.75).when(r <= 10, 0.60).otherwise(0.40)
-    return rows.withColumn("blended", F.round(w * F.col(base) + (1 - w) * F.col(rerank) * 4, 6))

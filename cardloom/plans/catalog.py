@@ -38,11 +38,11 @@ def _(spark, d):
     return _shown(query.query_cards(bridge.cards(spark, d), 50, type="finance", source="orders"))
 
 
-@register("query_cards_people_org", f"WITH {CARDS_SQL}, {PEOPLE_SQL}, {ORGS_SQL} SELECT DISTINCT rel_path, summary, type, {AT_SQL} AS activity_at FROM cards WHERE uid IN (SELECT uid FROM card_people WHERE person = 'hfa-person-1') AND uid IN (SELECT uid FROM card_orgs WHERE org = (SELECT lower(c_mktsegment) FROM customer WHERE c_custkey = 1)) ORDER BY activity_at DESC NULLS FIRST, rel_path LIMIT 50")
+@register("query_cards_people_org", f"WITH {CARDS_SQL}, {PEOPLE_SQL}, {ORGS_SQL} SELECT DISTINCT rel_path, summary, type, {AT_SQL} AS activity_at FROM cards WHERE uid IN (SELECT uid FROM card_people WHERE person = 'card-person-1') AND uid IN (SELECT uid FROM card_orgs WHERE org = (SELECT lower(c_mktsegment) FROM customer WHERE c_custkey = 1)) ORDER BY activity_at DESC NULLS FIRST, rel_path LIMIT 50")
 def _(spark, d):
     one = table(spark, d, "customer").filter("c_custkey = 1").select(F.lower("c_mktsegment").alias("org"))
     orgs = bridge.card_orgs(spark, d).join(one, "org", "left_semi").withColumn("org", F.lit("own"))
-    return _shown(query.query_cards(bridge.cards(spark, d), 50, people=bridge.card_people(spark, d), person="hfa-person-1", orgs=orgs, org="own"))
+    return _shown(query.query_cards(bridge.cards(spark, d), 50, people=bridge.card_people(spark, d), person="card-person-1", orgs=orgs, org="own"))
 
 
 @register("timeline_range", f"WITH {CARDS_SQL} SELECT rel_path, type, {AT_SQL} AS activity_at FROM cards WHERE activity_at >= TIMESTAMP '1996-01-01 00:00:00' AND activity_at <= TIMESTAMP '1996-06-30 23:59:59.999999' ORDER BY cards.activity_at, rel_path LIMIT 100")
@@ -85,12 +85,6 @@ def _(spark, d):
     return bridge.cards(spark, d).groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("activity_at").isNotNull(), 1.0).otherwise(0.0)), 6).alias("ready"))
 
 
-@register("duplicate_uid_election", "WITH r AS (SELECT 'u-' || (o_custkey % 500) AS uid, 'Finance/' || o_orderkey || '.md' AS rel_path FROM orders), g AS (SELECT *, count(*) OVER (PARTITION BY uid) AS group_size, min(rel_path) OVER (PARTITION BY uid) AS kept_path FROM r) SELECT uid, rel_path AS duplicate_path, kept_path, group_size FROM g WHERE group_size > 1 AND rel_path <> kept_path")
-def _(spark, d):
-    return query.duplicate_uids(table(spark, d, "orders").select(
-        F.concat(F.lit("u-"), (F.col("o_custkey") % 500).cast("string")).alias("uid"), F.concat(F.lit("Finance/"), "o_orderkey", F.lit(".md")).alias("rel_path")))
-
-
 @register("external_ids_by_provider", "WITH e AS (SELECT 'crm' AS provider, c_custkey AS id FROM customer UNION ALL SELECT 'erp', s_suppkey FROM supplier UNION ALL SELECT 'web', user_id FROM events) SELECT provider, count(*) AS n, count(DISTINCT id) AS ids FROM e GROUP BY provider")
 def _(spark, d):
     ids = lambda name, key, provider: table(spark, d, name).select(F.lit(provider).alias("provider"), F.col(key).alias("id"))
@@ -98,26 +92,6 @@ def _(spark, d):
     return all_ids.groupBy("provider").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
 
 
-FLAGS_SQL = f"""WITH {CARDS_SQL}, q AS (SELECT uid, type, list_filter([CASE WHEN trim(coalesce(summary, '')) = '' THEN 'empty_summary' END,
- CASE WHEN activity_at IS NULL THEN 'no_activity' END, CASE WHEN length(summary) < 10 THEN 'short_summary' END], lambda x: x IS NOT NULL) AS flags FROM cards),
- s AS (SELECT *, round(1 - len(flags) / 5.0, 4) AS quality_score FROM q) """
-
-
-@register("quality_score", FLAGS_SQL + "SELECT uid, coalesce(array_to_string(flags, ','), '') AS flags, quality_score::DOUBLE AS quality_score FROM s")
-def _(spark, d):
-    return query.quality_flags(bridge.cards(spark, d)).select("uid", F.array_join("quality_flags", ",").alias("flags"), "quality_score")
-
-
-@register("quality_report_percentiles", FLAGS_SQL + "SELECT type, count(*) AS n, round(avg(quality_score::DOUBLE), 6) AS avg_quality, round(quantile_cont(quality_score::DOUBLE, 0.1), 6) AS p10, round(quantile_cont(quality_score::DOUBLE, 0.5), 6) AS p50, round(quantile_cont(quality_score::DOUBLE, 0.9), 6) AS p90 FROM s GROUP BY type")
-def _(spark, d):
-    return query.quality_report(bridge.cards(spark, d))
-
-
-@register("quality_flags_top5", FLAGS_SQL + "SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM s) GROUP BY flag ORDER BY n DESC, flag LIMIT 5")
-def _(spark, d):
-    return query.top_flags(bridge.cards(spark, d))
-
-
 @register("retrieval_confidence", "SELECT event_type, count(*) AS n, CASE WHEN event_type = 'view' OR count(*) > 10 THEN 'high' WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM events WHERE user_id = 7 GROUP BY event_type")
 def _(spark, d):
     n = table(spark, d, "events").filter("user_id = 7").groupBy("event_type").agg(F.count("*").alias("n"))
@@ -134,15 +108,15 @@ def _(spark, d):
 
 # graph
 
-@register("graph_neighbor_trust", f"WITH {EDGES_SQL}, a AS (SELECT 'hfa-person-' || c_custkey AS uid FROM customer WHERE c_custkey <= 20), n AS (SELECT target_uid AS uid, confidence FROM edges WHERE source_uid IN (SELECT uid FROM a) UNION ALL SELECT source_uid, confidence FROM edges WHERE target_uid IN (SELECT uid FROM a)) SELECT uid, max(confidence) AS trust FROM n WHERE uid NOT IN (SELECT uid FROM a) GROUP BY uid")
+@register("graph_neighbor_trust", f"WITH {EDGES_SQL}, a AS (SELECT 'card-person-' || c_custkey AS uid FROM customer WHERE c_custkey <= 20), n AS (SELECT target_uid AS uid, confidence FROM edges WHERE source_uid IN (SELECT uid FROM a) UNION ALL SELECT source_uid, confidence FROM edges WHERE target_uid IN (SELECT uid FROM a)) SELECT uid, max(confidence) AS trust FROM n WHERE uid NOT IN (SELECT uid FROM a) GROUP BY uid")
 def _(spark, d):
-    anchors = table(spark, d, "customer").filter("c_custkey <= 20").select(F.concat(F.lit("hfa-person-"), "c_custkey").alias("uid"))
+    anchors = table(spark, d, "customer").filter("c_custkey <= 20").select(F.concat(F.lit("card-person-"), "c_custkey").alias("uid"))
     return graph.neighbor_trust(bridge.edges(spark, d), anchors)
 
 
-@register("graph_khop", f"WITH RECURSIVE {EDGES_SQL}, w(uid, hop) AS (SELECT 'hfa-finance-' || o_orderkey, 0 FROM orders WHERE o_orderkey <= 50 UNION SELECT target_uid, hop + 1 FROM w JOIN edges ON source_uid = uid WHERE hop < 3) SELECT uid, min(hop) AS hop FROM w GROUP BY uid")
+@register("graph_khop", f"WITH RECURSIVE {EDGES_SQL}, w(uid, hop) AS (SELECT 'card-finance-' || o_orderkey, 0 FROM orders WHERE o_orderkey <= 50 UNION SELECT target_uid, hop + 1 FROM w JOIN edges ON source_uid = uid WHERE hop < 3) SELECT uid, min(hop) AS hop FROM w GROUP BY uid")
 def _(spark, d):
-    start = table(spark, d, "orders").filter("o_orderkey <= 50").select(F.concat(F.lit("hfa-finance-"), "o_orderkey").alias("uid"))
+    start = table(spark, d, "orders").filter("o_orderkey <= 50").select(F.concat(F.lit("card-finance-"), "o_orderkey").alias("uid"))
     return graph.k_hop(bridge.edges(spark, d), start, 3)
 
 
@@ -158,9 +132,9 @@ def _(spark, d):
 
 # chunks and vectors
 
-@register("chunk_tokens_key", "SELECT doc_id, CASE WHEN trim(text) = '' THEN 0 ELSE len(regexp_split_to_array(regexp_replace(regexp_replace(text, '^ +', ''), ' +$', ''), '\\s+')) END AS tokens, sha256('hfa-document-' || doc_id || ':body:0:' || sha256(text)) AS chunk_key FROM documents")
+@register("chunk_tokens_key", "SELECT doc_id, CASE WHEN trim(text) = '' THEN 0 ELSE len(regexp_split_to_array(regexp_replace(regexp_replace(text, '^ +', ''), ' +$', ''), '\\s+')) END AS tokens, sha256('card-document-' || doc_id || ':body:0:' || sha256(text)) AS chunk_key FROM documents")
 def _(spark, d):
-    uid = F.concat(F.lit("hfa-document-"), "doc_id")
+    uid = F.concat(F.lit("card-document-"), "doc_id")
     return table(spark, d, "documents").select("doc_id", vectors.token_count(F.col("text")).alias("tokens"), vectors.chunk_key(uid, F.lit("body"), F.lit(0), F.sha2("text", 256)).alias("chunk_key"))
 
 
@@ -216,21 +190,6 @@ def _(spark, d):
     return retrieval.and_match(table(spark, d, "documents"), "doc_id", "text", TERMS)
 
 
-@register("hybrid_fusion", f"""WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM documents),
-l AS (SELECT doc_id AS uid, count(*) / 100.0::DOUBLE AS lexical, (doc_id % 10 = 0)::INT AS exact FROM w WHERE w IN ('the', 'with', 'this') GROUP BY doc_id HAVING count(DISTINCT w) = 3),
-v AS (SELECT vec_id AS uid, similarity FROM ({KNN_SQL})), t AS (SELECT doc_id AS uid, 0.5::DOUBLE AS trust FROM documents WHERE doc_id % 4 = 0)
-SELECT coalesce(l.uid, v.uid) AS uid, CASE WHEN l.uid IS NOT NULL AND v.uid IS NOT NULL THEN 'hybrid' WHEN l.uid IS NOT NULL THEN 'lexical' ELSE 'vector' END AS matched_by,
-round(3.0 * coalesce(exact, 0) + least(coalesce(lexical, 0), 1.5) * (CASE WHEN coalesce(exact, 0) > 0 THEN 1.4 ELSE 1.2 END) + 1.2 * coalesce(similarity, 0)
- + (CASE WHEN l.uid IS NOT NULL AND v.uid IS NOT NULL THEN 0.2 ELSE 0 END) + (CASE WHEN coalesce(exact, 0) > 0 THEN 0 ELSE 0.22 * coalesce(trust, 0) END), 6)::DOUBLE AS score
-FROM l FULL OUTER JOIN v ON v.uid = l.uid LEFT JOIN t ON t.uid = coalesce(l.uid, v.uid)""")
-def _(spark, d):
-    docs = table(spark, d, "documents")
-    lexical = retrieval.and_match(docs, "doc_id", "text", TERMS).select(
-        F.col("doc_id").alias("uid"), (F.col("hits") / 100.0).alias("lexical"), (F.col("doc_id") % 10 == 0).cast("int").alias("exact"))
-    vector = vectors.knn(table(spark, d, "embeddings"), QUERY_VECTOR, 80).select(F.col("vec_id").alias("uid"), "similarity")
-    return retrieval.fuse(lexical, vector, docs.filter("doc_id % 4 = 0").select(F.col("doc_id").alias("uid"), F.lit(0.5).alias("trust")))
-
-
 @register("rerank_heuristic", """WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda w: length(w) > 1)) AS t, ['the', 'that', 'idiot', 'zz'] AS q FROM documents),
 b AS (SELECT doc_id, len(list_intersect(q, t)) AS n_both, len(q) AS nq, len(t) AS nt FROM t) SELECT doc_id, round(least(1.0, 0.5 * n_both / nq + 0.5 * n_both / (nq + nt - n_both)), 6)::DOUBLE AS score FROM b""")
 def _(spark, d):
@@ -313,9 +272,9 @@ def _(spark, d):
     return incremental.manifest_delta(rows.filter("doc_id % 7 <> 0"), new)
 
 
-@register("person_escalation", f"WITH {PEOPLE_SQL} SELECT DISTINCT uid FROM card_people WHERE person IN (SELECT 'hfa-person-' || c_custkey FROM customer WHERE c_acctbal < 0)")
+@register("person_escalation", f"WITH {PEOPLE_SQL} SELECT DISTINCT uid FROM card_people WHERE person IN (SELECT 'card-person-' || c_custkey FROM customer WHERE c_acctbal < 0)")
 def _(spark, d):
-    changed = table(spark, d, "customer").filter("c_acctbal < 0").select(F.concat(F.lit("hfa-person-"), "c_custkey").alias("person"))
+    changed = table(spark, d, "customer").filter("c_acctbal < 0").select(F.concat(F.lit("card-person-"), "c_custkey").alias("person"))
     return incremental.referencing(changed, bridge.card_people(spark, d))
 
 

@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _card(df: DataFrame, kind: str, key: str, summary, source, at=None, end=None, folder: str = "") -> DataFrame:
     none = F.lit(None).cast("timestamp_ntz")
     return df.select(
-        F.concat(F.lit(f"hfa-{kind}-"), F.col(key)).alias("uid"), F.concat(F.lit(f"{folder}/"), F.col(key), F.lit(".md")).alias("rel_path"),
+        F.concat(F.lit(f"card-{kind}-"), F.col(key)).alias("uid"), F.concat(F.lit(f"{folder}/"), F.col(key), F.lit(".md")).alias("rel_path"),
         F.lit(kind).alias("type"), summary.alias("summary"), source.alias("source"),
         (at.cast("timestamp_ntz") if at is not None else none).alias("activity_at"), (end.cast("timestamp_ntz") if end is not None else none).alias("activity_end_at"),
     )
@@ -40,34 +40,34 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CARDS_SQL = """
 cards AS (
-  SELECT 'hfa-person-' || c_custkey AS uid, 'People/' || c_custkey || '.md' AS rel_path, 'person' AS type, c_name AS summary, 'crm' AS source, NULL::TIMESTAMP AS activity_at, NULL::TIMESTAMP AS activity_end_at FROM customer
-  UNION ALL SELECT 'hfa-organization-' || s_suppkey, 'Organizations/' || s_suppkey || '.md', 'organization', s_name, 'crm', NULL, NULL FROM supplier
-  UNION ALL SELECT 'hfa-finance-' || o_orderkey, 'Finance/' || o_orderkey || '.md', 'finance', 'Order ' || o_orderpriority, 'orders', o_orderdate::TIMESTAMP, NULL FROM orders
-  UNION ALL SELECT 'hfa-calendar_event-' || event_id, 'Calendar/' || event_id || '.md', 'calendar_event', 'signup ' || user_id, 'events', ts::TIMESTAMP, ts::TIMESTAMP + to_minutes(floor(value)::BIGINT) FROM events WHERE event_type = 'signup'
-  UNION ALL SELECT 'hfa-document-' || doc_id, 'Documents/' || doc_id || '.md', 'document', substr(text, 1, 40), source, NULL, NULL FROM documents
+  SELECT 'card-person-' || c_custkey AS uid, 'People/' || c_custkey || '.md' AS rel_path, 'person' AS type, c_name AS summary, 'crm' AS source, NULL::TIMESTAMP AS activity_at, NULL::TIMESTAMP AS activity_end_at FROM customer
+  UNION ALL SELECT 'card-organization-' || s_suppkey, 'Organizations/' || s_suppkey || '.md', 'organization', s_name, 'crm', NULL, NULL FROM supplier
+  UNION ALL SELECT 'card-finance-' || o_orderkey, 'Finance/' || o_orderkey || '.md', 'finance', 'Order ' || o_orderpriority, 'orders', o_orderdate::TIMESTAMP, NULL FROM orders
+  UNION ALL SELECT 'card-calendar_event-' || event_id, 'Calendar/' || event_id || '.md', 'calendar_event', 'signup ' || user_id, 'events', ts::TIMESTAMP, ts::TIMESTAMP + to_minutes(floor(value)::BIGINT) FROM events WHERE event_type = 'signup'
+  UNION ALL SELECT 'card-document-' || doc_id, 'Documents/' || doc_id || '.md', 'document', substr(text, 1, 40), source, NULL, NULL FROM documents
 )"""
 
 
 def card_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("hfa-finance-"), "o_orderkey").alias("uid"), F.concat(F.lit("hfa-person-"), "o_custkey").alias("person")
+        F.concat(F.lit("card-finance-"), "o_orderkey").alias("uid"), F.concat(F.lit("card-person-"), "o_custkey").alias("person")
     )
 
 
 def card_orgs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    return o.join(c, o.o_custkey == c.c_custkey).select(F.concat(F.lit("hfa-finance-"), "o_orderkey").alias("uid"), F.lower("c_mktsegment").alias("org"))
+    return o.join(c, o.o_custkey == c.c_custkey).select(F.concat(F.lit("card-finance-"), "o_orderkey").alias("uid"), F.lower("c_mktsegment").alias("org"))
 
 
-PEOPLE_SQL = "card_people AS (SELECT 'hfa-finance-' || o_orderkey AS uid, 'hfa-person-' || o_custkey AS person FROM orders)"
-ORGS_SQL = "card_orgs AS (SELECT 'hfa-finance-' || o_orderkey AS uid, lower(c_mktsegment) AS org FROM orders JOIN customer ON o_custkey = c_custkey)"
+PEOPLE_SQL = "card_people AS (SELECT 'card-finance-' || o_orderkey AS uid, 'card-person-' || o_custkey AS person FROM orders)"
+ORGS_SQL = "card_orgs AS (SELECT 'card-finance-' || o_orderkey AS uid, lower(c_mktsegment) AS org FROM orders JOIN customer ON o_custkey = c_custkey)"
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_uid, target_uid, edge_type, confidence: order to customer, customer and supplier to nation, nation to region."""
     t = lambda name: table(spark, sf_dir, name)
     edge = lambda df, a, x, b, y, kind, conf: df.select(
-        F.concat(F.lit(f"hfa-{a}-"), F.col(x)).alias("source_uid"), F.concat(F.lit(f"hfa-{b}-"), F.col(y)).alias("target_uid"),
+        F.concat(F.lit(f"card-{a}-"), F.col(x)).alias("source_uid"), F.concat(F.lit(f"card-{b}-"), F.col(y)).alias("target_uid"),
         F.lit(kind).alias("edge_type"), F.lit(conf).alias("confidence"),
     )
     parts = [
@@ -81,8 +81,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EDGES_SQL = """
 edges AS (
-  SELECT 'hfa-finance-' || o_orderkey AS source_uid, 'hfa-person-' || o_custkey AS target_uid, 'counterparty' AS edge_type, 1.0::DOUBLE AS confidence FROM orders
-  UNION ALL SELECT 'hfa-person-' || c_custkey, 'hfa-place-' || c_nationkey, 'lives_in', 0.8 FROM customer
-  UNION ALL SELECT 'hfa-organization-' || s_suppkey, 'hfa-place-' || s_nationkey, 'located_in', 0.9 FROM supplier
-  UNION ALL SELECT 'hfa-place-' || n_nationkey, 'hfa-region-' || n_regionkey, 'part_of', 1.0 FROM nation
+  SELECT 'card-finance-' || o_orderkey AS source_uid, 'card-person-' || o_custkey AS target_uid, 'counterparty' AS edge_type, 1.0::DOUBLE AS confidence FROM orders
+  UNION ALL SELECT 'card-person-' || c_custkey, 'card-place-' || c_nationkey, 'lives_in', 0.8 FROM customer
+  UNION ALL SELECT 'card-organization-' || s_suppkey, 'card-place-' || s_nationkey, 'located_in', 0.9 FROM supplier
+  UNION ALL SELECT 'card-place-' || n_nationkey, 'card-region-' || n_regionkey, 'part_of', 1.0 FROM nation
 )"""

@@ -2,7 +2,7 @@
 
 import pytest
 
-from cardloom.plans import catalog, extraction, linking  # noqa: F401
+from cardloom.plans import cards, catalog, extraction, linkers, linking, searching  # noqa: F401
 from compare import SF, connect, rows
 
 
