@@ -43,3 +43,42 @@ def assemble_threads(messages: DataFrame, thread: str, turn: str, role: str, tex
         thread, F.size("m").alias("n_messages"), F.array_join(F.array_sort(F.array_distinct(F.transform("m", lambda x: x[role]))), ",").alias("roles"),
         F.sha2(F.array_join(lines, "\n"), 256).alias("thread_sha"),
     )
+
+
+def purged(rows: DataFrame, gone: DataFrame, key: str = "uid") -> DataFrame:
+    """A derived table without the rows of cards that are gone or rebuilt (uid)."""
+    return rows.join(gone.select(F.col("uid").alias(key)).distinct(), key, "left_anti")
+
+
+def purged_edges(edges: DataFrame, rebuilt: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Edges after cards were rebuilt or deleted: none that start at either, none that end at a deleted one; those that end at a rebuilt one stay."""
+    gone = rebuilt.select("uid").unionByName(deleted.select("uid"))
+    return purged(purged(edges, gone, "source_uid"), deleted, "target_uid")
+
+
+def rebuild_mode(delta: DataFrame, people_changed: DataFrame, most: int = 5_000) -> DataFrame:
+    """One row: mode (noop, full, person_triggered or incremental) and how many cards changed, by the delta and the cards that changed persons touch."""
+    n = delta.agg(F.count(F.when(F.col("state") != "unchanged", 1)).alias("changed")).join(people_changed.agg(F.count("*").alias("touched")))  # a row each
+    mode = F.when((F.col("changed") == 0) & (F.col("touched") == 0), "noop").when(F.col("touched") > most, "full").when(F.col("touched") > 0, "person_triggered").otherwise("incremental")
+    return n.withColumn("mode", mode)
+
+
+def advanced_cursors(cursors: DataFrame, fetched: DataFrame) -> DataFrame:
+    """(source, position) after a fetch (source, position): the furthest that each source has come; sources never go back."""
+    return cursors.select("source", "position").unionByName(fetched.select("source", "position")).groupBy("source").agg(F.max("position").alias("position"))
+
+
+def unseen(items: DataFrame, cursors: DataFrame) -> DataFrame:
+    """The items (source, position, ...) after their source's cursor; all of a source without one."""
+    known = cursors.select("source", F.col("position").alias("_at"))
+    return items.join(known, "source", "left").filter("_at is null or position > _at").drop("_at")
+
+
+def tumbling(events: DataFrame, at: str, every: str, by: str, slide: str | None = None) -> DataFrame:
+    """Events per window (tumbling, or sliding by ``slide``) and group: n. Works on streams too, with a watermark."""
+    return events.groupBy(F.window(at, every, slide or every).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
+
+
+def sessions(events: DataFrame, at: str, gap: str, by: str) -> DataFrame:
+    """Runs of a group's events with no gap of ``gap`` or more between them: start, end, n."""
+    return events.groupBy(F.session_window(at, gap).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
