@@ -108,3 +108,8 @@ def keyword_score(words: Column, text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     hits = F.size(F.filter(words, lambda w: F.contains(low, F.lower(w))))
     return F.when((F.coalesce(F.size(words), F.lit(0)) <= 0) | (low == ""), 0.0).otherwise(hits / F.size(words))
+
+
+def person_key(name: Column) -> Column:
+    """Lower case, letters and digits alone, white space single."""
+    return clean(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"(?U)[^\w\s]", " "))
