@@ -36,13 +36,15 @@ def smallest_by_hash(rows: DataFrame, group: str, key: str, most: int) -> DataFr
 
 
 def assemble_threads(messages: DataFrame, thread: str, turn: str, role: str, text: str) -> DataFrame:
-    """A row per thread: messages in order, who speaks, and the hash of it all."""
-    one = F.array_sort(F.collect_list(F.struct(turn, role, text)))
-    lines = F.transform(F.col("m"), lambda x: F.concat(x[role], F.lit(": "), F.coalesce(x[text], F.lit(""))))
-    return messages.groupBy(thread).agg(one.alias("m")).select(
-        thread, F.size("m").alias("n_messages"), F.array_join(F.array_sort(F.array_distinct(F.transform("m", lambda x: x[role]))), ",").alias("roles"),
-        F.sha2(F.array_join(lines, "\n"), 256).alias("thread_sha"),
-    )
+    """A row per thread: how many messages, who speaks, and the digest of the messages' digests in order.
+
+    Messages give their digests before they are brought together, so a long
+    thread's texts never meet in one task.
+    """
+    digest = F.sha2(F.concat(F.col(role), F.lit(": "), F.coalesce(F.col(text), F.lit(""))), 256)
+    rows = messages.select(thread, turn, role, digest.alias("d"))
+    told = rows.groupBy(thread).agg(F.count("*").alias("n_messages"), F.array_join(F.array_sort(F.collect_set(role)), ",").alias("roles"), F.array_sort(F.collect_list(F.struct(turn, role, "d"))).alias("m"))
+    return told.select(thread, "n_messages", "roles", F.sha2(F.array_join(F.transform("m", lambda x: x["d"]), "\n"), 256).alias("thread_sha"))
 
 
 def purged(rows: DataFrame, gone: DataFrame, key: str = "uid") -> DataFrame:

@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def shared_identifier_pairs(identifiers: DataFrame) -> DataFrame:
-    """Ordered pairs of uids that share identifiers (uid, kind, value), and of which kinds.
+def shared_identifiers(identifiers: DataFrame) -> DataFrame:
+    """uid, kind, leader and links of each uid and kind of identifier (uid, kind, value) that it shares with others.
 
-    A value that many cards share would pair them all; such values are the
-    caller's to leave out, as ambiguous ones.
+    leader: the smallest uid of those that hold one of its values; links: how
+    many others hold them, value by value. Groups are counted before they are
+    joined back, so a value that a third of all cards hold costs a row a card.
     """
-    a, b = identifiers.toDF("a", "kind", "value"), identifiers.toDF("b", "kind", "value")
-    return a.join(b, ["kind", "value"]).filter("a < b").groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    groups = identifiers.distinct().groupBy("kind", "value").agg(F.min("uid").alias("leader"), F.count("*").alias("n")).filter("n > 1")
+    return identifiers.distinct().join(groups, ["kind", "value"]).groupBy("uid", "kind").agg(F.min("leader").alias("leader"), F.sum(F.col("n") - 1).alias("links"))
 
 
 def amount_key(amount: Column) -> Column:

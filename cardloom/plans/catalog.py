@@ -198,12 +198,12 @@ def _(spark, d):
 
 # links
 
-@register("identity_pairs", "WITH i AS (SELECT c_custkey AS uid, 'balance' AS kind, round(c_acctbal)::BIGINT::VARCHAR AS value FROM customer UNION ALL SELECT c_custkey, 'place', c_nationkey || '/' || c_mktsegment || '/' || (c_custkey % 97) FROM customer) SELECT a.uid AS a, b.uid AS b, string_agg(DISTINCT a.kind, ',' ORDER BY a.kind) AS kinds FROM i a JOIN i b ON a.kind = b.kind AND a.value = b.value AND a.uid < b.uid GROUP BY a.uid, b.uid")
+@register("identity_pairs", "WITH i AS (SELECT c_custkey AS uid, 'balance' AS kind, round(c_acctbal)::BIGINT::VARCHAR AS value FROM customer UNION ALL SELECT c_custkey, 'place', c_nationkey || '/' || c_mktsegment || '/' || (c_custkey % 97) FROM customer), g AS (SELECT kind, value, min(uid) AS leader, count(*) AS n FROM i GROUP BY ALL HAVING count(*) > 1) SELECT uid, kind, leader, (n - 1)::BIGINT AS links FROM i JOIN g USING (kind, value)")
 def _(spark, d):
     c = table(spark, d, "customer")
     ids = c.select(F.col("c_custkey").alias("uid"), F.lit("balance").alias("kind"), F.round("c_acctbal").cast("long").cast("string").alias("value")).unionByName(
         c.select(F.col("c_custkey").alias("uid"), F.lit("place").alias("kind"), F.concat_ws("/", "c_nationkey", "c_mktsegment", (F.col("c_custkey") % 97)).alias("value")))
-    return linkers.shared_identifier_pairs(ids)
+    return linkers.shared_identifiers(ids)
 
 
 @register("finance_tiers", """WITH c AS (SELECT event_id AS charge, format('{:.2f}', value) AS k, ts, user_id % 5 AS m FROM events WHERE event_type = 'purchase'),
@@ -296,6 +296,6 @@ def _(spark, d):
     return incremental.smallest_by_hash(table(spark, d, "orders").select("o_orderpriority", "o_orderkey"), "o_orderpriority", "o_orderkey", 25)
 
 
-@register("thread_assembly", "SELECT conv_id, count(*) AS n_messages, string_agg(DISTINCT role, ',' ORDER BY role) AS roles, sha256(string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, role, text)) AS thread_sha FROM conversations GROUP BY conv_id")
+@register("thread_assembly", "SELECT conv_id, count(*) AS n_messages, string_agg(DISTINCT role, ',' ORDER BY role) AS roles, sha256(string_agg(sha256(role || ': ' || coalesce(text, '')), chr(10) ORDER BY turn, role, sha256(role || ': ' || coalesce(text, '')))) AS thread_sha FROM conversations GROUP BY conv_id")
 def _(spark, d):
     return incremental.assemble_threads(table(spark, d, "conversations"), "conv_id", "turn", "role", "text")

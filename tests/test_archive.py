@@ -4,6 +4,7 @@ import difflib
 import json
 import random
 import re
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def test_chunks_by_type(spark, kind, text):
     elif kind == "meeting_transcript":
         assert got["meeting_transcript_summary"] == [(0, "p\n\nq")] and got["meeting_transcript_body"] == [(0, "p\n\nq\n\nr")]
     elif kind == "person":
-        assert got == {"person_profile": [(0, "name: Sum")]}  # no other part has a filled field
+        assert got == {"person_profile": [(0, "name: Sum")], "person_role": [(0, "title: T")]}  # no other part has a filled field
     else:
         assert got["body"] == numbered(packed(text, 40)) and got["title"] == [(0, "T")]
 
@@ -72,8 +73,6 @@ def test_finance_tiers_by_brute_force(spark):
         else:
             cards.append(card("purchase", n, total=money, vendor=rng.choice(["SHOP inc", "Else"]), created=day(rng.randrange(80)), source_email=mail, currency=rng.choice(["usd", "EUR"])))
     got = {(r.finance_uid, r.target_uid): r.tier for r in links.finance_candidates(spark.createDataFrame(cards, CARD)).collect()}
-    number = lambda d: (int(d[5:7]) - 1) * 31 + int(d[8:])
-    from datetime import date
     number = lambda d: date.fromisoformat(d).toordinal()
     thread = {f"email_message-{k}": f"t{k % 3}" for k in range(6)}
     same = lambda a, b: bool(a and b) and (a == b or difflib.SequenceMatcher(None, a, b).ratio() >= 0.7)
