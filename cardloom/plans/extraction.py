@@ -76,7 +76,7 @@ def _(spark, d):
  CASE WHEN o_orderkey % 3 = 0 THEN 'pickup_location' ELSE '' END AS migration_notes, 'bus' AS service, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS pickup_location,
  CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_orderkey % 40 END::DOUBLE AS fare FROM orders""")
 def _(spark, d):
-    cards = table(spark, d, "orders").select(F.concat(F.lit("r-"), "o_orderkey").alias("uid"), F.lit("x.md").alias("path"), F.lit("ride").alias("type"), _order_fields().alias("fields"))
+    cards = table(spark, d, "orders").select(F.concat(F.lit("r-"), "o_orderkey").alias("uid"), F.lit("x.md").alias("rel_path"), F.lit("ride").alias("type"), _order_fields().alias("fields"))
     typed = projections.project(cards, "ride", "service, *pickup_location, *dropoff_location, pickup_at, fare:dbl")
     return typed.select(
         "card_uid", "card_type", "primary_source", F.date_format("activity_at", "yyyy-MM-dd").alias("day"), "canonical_ready", "migration_notes", "service", "pickup_location", "fare")
