@@ -65,7 +65,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(remainder("doc_id", 4) != 2)
-    model = toxicity.fit(docs.join(labels, "doc_id"))
+    model = toxicity.fit(toxicity.labelled(docs, labels))
     return toxicity.score(docs, model).select(
         "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), F.col("toxicity").alias("score"),
         (F.col("toxicity") >= 0.3).cast("int").alias("predicted"),

@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardloom.llm.common import materialize, released, small_batches, smallest_by_hash
+from cardloom.llm.common import give_back, materialize, released, small_batches, smallest_by_hash
 
 BUCKET_BITS = 20
 #: Code points hashed at once.
 SLICE = 1 << 18
 #: Entries of the sample's sparse rows that a step of the fit takes at once.
 ENTRIES = 1 << 19
+#: Labels (an id and a flag each, 16 MB in all) that are broadcast.
+BROADCAST_LABELS = 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -189,24 +191,32 @@ def fit(
     ).toArrow()  # as many rows as buckets at most
     b, c1, c0 = (counts.column(k).to_numpy() for k in ("bucket", "toxic", "clean"))
     del counts
-    log_p, log_q = np.log(alpha + c1), np.log(alpha + c0)
-    ratio = (log_p - np.log((alpha + c1).sum())) - (log_q - np.log((alpha + c0).sum()))
+    ratio = np.log(alpha + c1) - np.log((alpha + c1).sum()) - (np.log(alpha + c0) - np.log((alpha + c0).sum()))
     chi2 = (c1 * (n0 - c0) - c0 * (n1 - c1)).astype(float) ** 2 / np.maximum(1, (c1 + c0) * (n1 + n0 - c1 - c0))
     best = np.lexsort((b, -chi2))[:max_features]
     best = best[c1[best] + c0[best] >= 3]
-    chosen = spark.sparkContext.broadcast(b[best])
+    b, r = b[best].copy(), ratio[best]
+    del c1, c0, chi2, ratio, best
+    chosen = spark.sparkContext.broadcast(b)
     got = sample.mapInArrow(_rows(ngrams, chosen), "label int, features binary").toArrow()
     held, labels = got.column("features"), got.column("label").to_numpy().astype(float)
     sizes = np.concatenate([pc.binary_length(x).to_numpy(zero_copy_only=False) for x in held.chunks] or [np.zeros(0)]).astype(np.int64) // 2
     columns = np.frombuffer(b"".join(x.as_py() for x in held), np.uint16)
     del got, held
-    r = ratio[best]
+    give_back()
     w, bias = logistic(sizes, columns, r, labels, l2, steps)
     weights = np.zeros(1 << BUCKET_BITS, np.float32)
-    weights[b[best]] = w * r
+    weights[b] = w * r
+    del columns, sizes
+    give_back()
     return ToxicityModel(weights, bias, ngrams)
 
 
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with their rows of ``labels``. Up to BROADCAST_LABELS labels go to the documents; more are joined by shuffle."""
+    return docs.join(F.broadcast(labels) if labels.count() <= BROADCAST_LABELS else labels, id_col)
+
+
 def _scores(text_col: str, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
