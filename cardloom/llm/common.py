@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import string
 import tempfile
@@ -110,11 +112,15 @@ def nonempty(words: Column) -> Column:
 BATCH_ROWS = 1_000
 
 
+#: Characters of a plan's description that Spark keeps for each query that it has run.
+PLAN_CHARS = 4_096
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Have Arrow batches hold no more than :data:`BATCH_ROWS` rows, so that workers and executors hold less at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Have Arrow batches hold no more than :data:`BATCH_ROWS` rows, and the driver no more than :data:`PLAN_CHARS` of a plan's description, so that less is held at once."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.maxPlanStringLength", PLAN_CHARS)):
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
 
 
 def stretches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -126,13 +132,22 @@ def stretches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         start = stop
 
 
+def give_back() -> None:
+    """Have Arrow and the C library return memory that this process no longer uses; they keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
+
+
 def released(run):
-    """A function for mapInArrow that gives unused memory back to the system when a task ends."""
+    """A function for mapInArrow that gives unused memory back when a task ends."""
 
     @wraps(run)
     def wrapped(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return wrapped
 

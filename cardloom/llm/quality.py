@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import fresh, materialize, small_batches, smallest_by_hash
+from cardloom.llm.common import fresh, give_back, materialize, small_batches, smallest_by_hash
 
 STATISTICS = ("symbols", "capitals", "repeats", "repeated_lines", "bars", "word_length", "digits")
 FEATURES = 1 << 16
@@ -201,7 +201,9 @@ def fit(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_rows:
     )).alias("x")).select("quality_features", "x.*").filter("weight > 1e-6")
     weighted = materialize(weighted, "quality-sample")
     regression = LogisticRegression(featuresCol="quality_features", labelCol="label", weightCol="weight", regParam=1e-5, maxIter=50, standardization=False)
-    return QualityModel(labels, regression.fit(weighted))
+    model = QualityModel(labels, regression.fit(weighted))
+    give_back()
+    return model
 
 
 def score(df: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -292,13 +292,13 @@ def similar_documents(
     by_id = rows.select(F.col("id").cast("long").alias("id"), "text")
     by_id = by_id.join(marked.select(F.col("id").cast("long").alias("id")).join(texts, "id", "left_anti").distinct(), "id", "left_anti")
     met = prefix_keys(by_id, shingles, words, similarity)
-    by_simhash = lambda order: lambda texts: reduce(DataFrame.unionByName, (
-        leader_pairs(texts.select(F.col(fp).alias("fp"), "id", "class", *fps), threshold, order, total) for fp in fps
+    by_simhash = lambda texts: reduce(DataFrame.unionByName, (
+        leader_pairs(texts.select(F.col(fp).alias("fp"), "id", "class", *fps), threshold, order, total) for fp in fps for order in (lambda i: i, F.xxhash64)
     ))
     by_prefix = lambda pairs: lambda texts: pairs(met.join(texts.select("id", "class"), "id"), similarity)
     links = None
     # members of a large group link to a leader first, a pair each; then only pairs of different classes are left
-    for candidates in (by_simhash(lambda i: i), by_simhash(F.xxhash64), by_prefix(first_pairs), by_prefix(all_pairs)):
+    for candidates in (by_simhash, by_prefix(first_pairs), by_prefix(all_pairs)):
         pairs = materialize(candidates(texts).distinct(), "candidates")
         new = verified(pairs, by_id, words, similarity)
         links = materialize(new if links is None else links.unionByName(new), "similar")
