@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cardloom.operators import features, query, retrieval, search, vectors
+from cardloom.operators import features, query, search, vectors
 from cardloom.plans.cards import items_sql
 from cardloom.plans.catalog import KNN_SQL, QUERY_VECTOR, register
 from cardloom.sources.bridge import table
@@ -108,7 +108,6 @@ def _(spark, d):
     return _flagged(spark, d).filter("exact = 1").select("uid", *search.FLAGS)
 
 
-# "order" is a word of every charge's body's slug, "high" of some summaries
 LEXICAL_SQL = f"""WITH {record_sql(*_FLAG_CARDS)}, {FLAGS_SQL}, {rank_sql(['customer', '7'], 'cards', 'uid', "summary || ' ' || body")},
  by_text AS (SELECT flagged.*, rank AS lexical_score FROM flagged JOIN ranks USING (uid) ORDER BY rank DESC, activity_at DESC NULLS LAST, rel_path LIMIT 40),
  direct AS (SELECT *, 0.0::DOUBLE AS lexical_score FROM flagged WHERE slug_exact = 1 OR external_id_exact = 1 OR person_exact = 1 ORDER BY slug_exact + summary_exact + external_id_exact + person_exact DESC, activity_at DESC NULLS LAST, rel_path LIMIT 40),
