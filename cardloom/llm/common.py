@@ -53,6 +53,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *folders: str) -> None:
+    """Delete ``folders`` that :func:`materialize` wrote and nothing reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def finite(vector: Column) -> Column:
+    """True for a vector that isn't null and holds neither nulls nor NaN or infinite components."""
+    return vector.isNotNull() & F.coalesce(F.forall(vector, lambda x: x - x == 0), F.lit(False))
+
+
+def vector_length(vectors: DataFrame, column: str, by: int = 1) -> int:
+    """The commonest length among the vectors of ``column``, of those above zero that ``by`` divides (ties: the longer); 0 if there is none."""
+    counts = vectors.groupBy(F.size(column).alias("length")).agg(F.count("*").alias("n")).filter((F.col("length") > 0) & (F.col("length") % by == 0))
+    found = counts.orderBy(F.desc("n"), F.desc("length")).first()
+    return found["length"] if found else 0
+
+
 def literal_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A table of ``rows`` (tuples), given as one literal, so that no Python worker starts for it."""
     names = [f.name for f in T.StructType.fromDDL(schema).fields]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import bpe, decontam, licenses, lm, omh, quality, simhash, toxicity, urlfilter, warc
+from cardloom.llm import bpe, decontam, licenses, lm, omh, quality, simhash, toxicity, trie, urlfilter, warc
 from cardloom.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -84,9 +84,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "contaminated", "n_items", F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items"), "overlap")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.numbered(table(spark, sf_dir, "conversations"))
+    return trie.build(*trie.grafted(turns, base=F.col("conv_id") - F.col("conv_id") % 5, heads=remainder("conv_id", 9), most=8))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_byte_bpe, op3_quality, op4_order_minhash, op5_license_scan, op6_url_filter, op7_simhash, op8_toxicity,
-    op9_lm_score, op10_decontaminate,
+    op9_lm_score, op10_decontaminate, op11_prefix_trie,
 )}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
