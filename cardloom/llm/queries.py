@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import bpe, decontam, licenses, lm, omh, quality, simhash, toxicity, trie, urlfilter, warc
+from cardloom.llm import bpe, codebooks, decontam, licenses, lm, omh, quality, simhash, toxicity, trie, urlfilter, warc
 from cardloom.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -89,9 +89,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.build(*trie.grafted(turns, base=F.col("conv_id") - F.col("conv_id") % 5, heads=remainder("conv_id", 9), most=8))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    books = codebooks.fit(vectors)
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return codebooks.with_label_error(codebooks.encode(vectors, books)).select("vec_id", code.alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_byte_bpe, op3_quality, op4_order_minhash, op5_license_scan, op6_url_filter, op7_simhash, op8_toxicity,
-    op9_lm_score, op10_decontaminate, op11_prefix_trie,
+    op9_lm_score, op10_decontaminate, op11_prefix_trie, op12_vector_codes,
 )}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
