@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import bpe, codebooks, decontam, licenses, lm, omh, quality, simhash, toxicity, trie, urlfilter, warc
+from cardloom.llm import bpe, codebooks, decontam, licenses, lm, omh, quality, simhash, toxicity, trie, urlfilter, vptree, warc
 from cardloom.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -96,9 +96,14 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.with_label_error(codebooks.encode(vectors, books)).select("vec_id", code.alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
 
 
+def op13_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = vptree.build(table(spark, sf_dir, "embeddings"))
+    return vptree.search(index, F.col("id") % 50 == 0).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_byte_bpe, op3_quality, op4_order_minhash, op5_license_scan, op6_url_filter, op7_simhash, op8_toxicity,
-    op9_lm_score, op10_decontaminate, op11_prefix_trie, op12_vector_codes,
+    op9_lm_score, op10_decontaminate, op11_prefix_trie, op12_vector_codes, op13_vp_tree,
 )}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
