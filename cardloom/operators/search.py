@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions.normalize import email
+from cardloom.operators.textindex import TextIndex
 
 # What a query's words say about sources and types; a needle's trailing blank counts.
 SOURCE_WORDS = (
@@ -34,8 +35,7 @@ OTHER_PRIOR = 0.02
 # Fields that a model may have written.
 MODEL_FIELDS = ("description", "relationship_type", "tags", "summary", "thread_summary")
 BONUS = {"deterministic": 0.08, "mixed": 0.04, "llm_derived": 0.01, "unknown": 0.0}
-#: English words that no search looks for.
-STOP = tuple("a about after all also am an and any are as at be because been but by can did do does for from had has have he her here him his how i if in into is it its just me more most my no nor not of on or our out so than that the their them then there these they this those to too up us was we were what when where which who why will with you your".split())
+
 
 
 def _hints(low: Column, words: tuple[tuple[str, str], ...], most: int = 3) -> Column:
@@ -74,42 +74,10 @@ def effective_filters(planned: DataFrame) -> DataFrame:
     })
 
 
-def stem(word: Column) -> Column:
-    """A light English stem: plural, -ed and -ing endings."""
-    out = F.regexp_replace(word, r"ies$", "i")
-    out = F.regexp_replace(out, r"(ss|sh|ch|x)es$", "$1")
-    out = F.regexp_replace(out, r"([^su])s$", "$1")
-    return F.regexp_replace(out, r"^(.*[aeiouy].*)(ed|ing)$", "$1")
-
-
-def lexemes(text: Column) -> Column:
-    """A stem for each word of a text, empty for stop words, so that places hold."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.when(w.isin(*STOP), "").otherwise(stem(w)))
-
-
-def ranked_matches(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
-    """``key`` and rank of the texts that hold every lexeme of ``query``: 0.1 for each cover, less the more other words it holds.
-
-    A cover is a shortest stretch with all lexemes; it counts 0.1 / (1 + its
-    other words). Only the query's lexemes leave a text's row; covers are found
-    among one text's hits.
-    """
-    asked = docs.sparkSession.range(1).select(F.array_distinct(F.filter(lexemes(F.lit(query)), lambda w: w != "")).alias("q")).first()["q"]
-    if not asked:
-        return docs.select(key, F.lit(0.0).alias("rank")).limit(0)
-    numbered = F.transform(lexemes(F.col(text)), lambda w, p: F.struct(p.alias("p"), w.alias("w")))
-    held = docs.select(key, F.filter(numbered, lambda x: x["w"].isin(*asked)).alias("h")).filter(F.size(F.array_distinct(F.transform("h", lambda x: x["w"]))) == len(asked))
-    hits = held.select(key, F.posexplode("h").alias("i", "x")).select(key, "i", "x.p", "x.w")
-    order = Window.partitionBy(key).orderBy("i")
-    last = [F.last(F.when(F.col("w") == w, F.col("i")), True).over(order) for w in asked]
-    start = reduce(lambda a, b: F.when(a.isNull() | b.isNull(), None).otherwise(F.least(a, b)), last)
-    spans = hits.withColumn("s", start)
-    first = spans.withColumn("before", F.lag("s").over(order)).filter("s is not null and (before is null or s > before)")
-    begins = hits.select(F.col(key).alias("_k"), F.col("i").alias("_i"), F.col("p").alias("begin"))
-    covers = first.join(begins, (F.col(key) == F.col("_k")) & (F.col("s") == F.col("_i")))
-    noise = (F.col("p") - F.col("begin")) - (F.col("i") - F.col("s"))
-    return covers.groupBy(key).agg(F.round(F.sum(0.1 / (1 + noise)), 6).alias("rank"))
+def ranked_matches(index: TextIndex, query: str) -> DataFrame:
+    """key and rank of the indexed texts that hold every lexeme of ``query``; stop words ask for nothing."""
+    asked = index.spark.range(1).select(F.col("id").alias("query_id"), F.lit(query).alias("text"))
+    return index.lookup(asked).select("key", "rank")
 
 
 def exact_flags(cards: DataFrame, query: str, ids: DataFrame, people: DataFrame) -> DataFrame:

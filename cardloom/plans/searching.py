@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cardloom.operators import features, query, search, vectors
+from cardloom.functions.stems import STOP
+from cardloom.operators import features, query, search, textindex, vectors
 from cardloom.plans.cards import items_sql
 from cardloom.plans.catalog import KNN_SQL, QUERY_VECTOR, register
 from cardloom.sources.bridge import table
@@ -56,21 +57,36 @@ def _(spark, d):
 
 # lexical
 
-_STOP_SQL = ", ".join(f"'{w}'" for w in search.STOP)
-STEM_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, 'ies$', 'i'), '(ss|sh|ch|x)es$', '\\1'), '([^su])s$', '\\1'), '^(.*[aeiouy].*)(ed|ing)$', '\\1')"
+# Words of the tables whose published stem is the key; the SQL has no stemmer of its own.
+FORMS = {
+    "anen": "anen aneneable aneneation anened anenedly anener anenerly anenes anening anenly anenlyed anenment anens".split(), "ther": "ther therly therlyed therlying thers".split(),
+    "custom": "custom customer customers customs".split(), "7": ["7"],
+}
+WORDS_SQL = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+_STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
+_INDEXES: dict[tuple, textindex.TextIndex] = {}
 
 
-def lexemes_sql(text: str) -> str:
-    return f"list_transform(list_filter(string_split_regex(lower({text}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: CASE WHEN w IN ({_STOP_SQL}) THEN '' ELSE {STEM_SQL} END)"
+def indexed(spark, d: str, name: str, texts) -> textindex.TextIndex:
+    """The index of ``texts()``, built once in a session for each folder of tables."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _INDEXES:
+        _INDEXES[key] = textindex.build(texts())
+    return _INDEXES[key]
+
+
+def document_index(spark, d):
+    return indexed(spark, d, "documents", lambda: table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"))
 
 
 def rank_sql(words: list[str], source: str, key: str, text: str) -> str:
     """Named subqueries that end in ranks(key, rank): covers by last places, as in the method's definition."""
+    case = "CASE " + " ".join(f"WHEN w IN ({', '.join(map(repr, FORMS[w]))}) THEN '{w}'" for w in words) + " END"
     lasts = ", ".join(f"last_value(CASE WHEN w = '{w}' THEN i END IGNORE NULLS) OVER o AS l{k}" for k, w in enumerate(words))
     known = " AND ".join(f"l{k} IS NOT NULL" for k in range(len(words)))
     least = "least(" + ", ".join(f"l{k}" for k in range(len(words))) + ")" if len(words) > 1 else "l0"
-    return f"""words AS (SELECT {key}, unnest(lx) AS w, generate_subscripts(lx, 1) - 1 AS p FROM (SELECT {key}, {lexemes_sql(text)} AS lx FROM {source})),
- hits AS (SELECT {key}, w, p, row_number() OVER (PARTITION BY {key} ORDER BY p) - 1 AS i FROM words WHERE w IN ({', '.join(f"'{w}'" for w in words)})),
+    return f"""words AS (SELECT {key}, unnest(lx) AS w, generate_subscripts(lx, 1) - 1 AS p FROM (SELECT {key}, {WORDS_SQL.format(text)} AS lx FROM {source})),
+ hits AS (SELECT {key}, w, p, row_number() OVER (PARTITION BY {key} ORDER BY p) - 1 AS i FROM (SELECT {key}, p, {case} AS w FROM words) WHERE w IS NOT NULL),
  spans AS (SELECT *, {lasts} FROM hits WINDOW o AS (PARTITION BY {key} ORDER BY i ROWS UNBOUNDED PRECEDING)), starts AS (SELECT {key}, i, p, {least} AS s FROM spans WHERE {known}),
  firsts AS (SELECT *, lag(s) OVER (PARTITION BY {key} ORDER BY i) AS before FROM starts),
  ranks AS (SELECT f.{key}, round(sum(0.1::DOUBLE / (1 + (f.p - h.p) - (f.i - f.s))), 6) AS rank FROM firsts f JOIN hits h ON h.{key} = f.{key} AND h.i = f.s WHERE before IS NULL OR s > before GROUP BY f.{key})"""
@@ -78,13 +94,30 @@ def rank_sql(words: list[str], source: str, key: str, text: str) -> str:
 
 @register("lexical_rank", f"WITH {rank_sql(['ther', 'anen'], 'documents', 'doc_id', 'text')} SELECT doc_id, rank FROM ranks")
 def _(spark, d):
-    return search.ranked_matches(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", "thers anen the")
+    return search.ranked_matches(document_index(spark, d), "thers anen the").select(F.col("key").cast("long").alias("doc_id"), "rank")
+
+
+@register("lexical_tokens", f"SELECT doc_id::VARCHAR AS key, count(*)::BIGINT AS places, count(DISTINCT w)::BIGINT AS words FROM (SELECT doc_id, unnest({WORDS_SQL.format('text')}) AS w FROM documents) WHERE w NOT IN ({_STOP_SQL}) GROUP BY doc_id")
+def _(spark, d):
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
+    return textindex.grouped(texts).groupBy("key").agg(F.sum(F.size("positions")).alias("places"), F.count("*").alias("words"))
+
+
+@register("text_index_batch")
+def _(spark, d):
+    """Every benchmark item's first words, asked of all documents at once."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("text"))
+    return document_index(spark, d).lookup(asked).select("query_id", F.col("key").cast("long").alias("doc_id"), "rank")
 
 
-@register("lexical_tokens", f"SELECT doc_id, len(list_filter(lx, lambda w: w <> ''))::BIGINT AS lexemes, len(list_distinct(list_filter(lx, lambda w: w <> '')))::BIGINT AS distinct_lexemes FROM (SELECT doc_id, {lexemes_sql('text')} AS lx FROM documents)")
+@register("text_index_update")
 def _(spark, d):
-    kept = F.filter(search.lexemes(F.col("text")), lambda w: w != "")
-    return table(spark, d, "documents").select("doc_id", F.size(kept).cast("long").alias("lexemes"), F.size(F.array_distinct(kept)).cast("long").alias("distinct_lexemes"))
+    """The lexicon after documents divisible by three were replaced by their pages' addresses and those divisible by seven removed."""
+    docs, pages = table(spark, d, "documents"), table(spark, d, "pages")
+    index = textindex.build(docs.select(F.col("doc_id").alias("key"), "text"))
+    changed = pages.filter("page_id % 3 = 0").select(F.col("page_id").alias("key"), F.col("url").alias("text"))
+    index = index.updated(1, changed, docs.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("key")))
+    return index.compacted().lexicon()
 
 
 EXACT = "customer-7"
@@ -108,7 +141,7 @@ def _(spark, d):
     return _flagged(spark, d).filter("exact = 1").select("uid", *search.FLAGS)
 
 
-LEXICAL_SQL = f"""WITH {record_sql(*_FLAG_CARDS)}, {FLAGS_SQL}, {rank_sql(['customer', '7'], 'cards', 'uid', "summary || ' ' || body")},
+LEXICAL_SQL = f"""WITH {record_sql(*_FLAG_CARDS)}, {FLAGS_SQL}, {rank_sql(['custom', '7'], 'cards', 'uid', "summary || ' ' || body")},
  by_text AS (SELECT flagged.*, rank AS lexical_score FROM flagged JOIN ranks USING (uid) ORDER BY rank DESC, activity_at DESC NULLS LAST, rel_path LIMIT 40),
  direct AS (SELECT *, 0.0::DOUBLE AS lexical_score FROM flagged WHERE slug_exact = 1 OR external_id_exact = 1 OR person_exact = 1 ORDER BY slug_exact + summary_exact + external_id_exact + person_exact DESC, activity_at DESC NULLS LAST, rel_path LIMIT 40),
  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY lexical_score DESC) AS r FROM (SELECT * FROM by_text UNION ALL SELECT * FROM direct)) WHERE r = 1),
@@ -117,8 +150,8 @@ LEXICAL_SQL = f"""WITH {record_sql(*_FLAG_CARDS)}, {FLAGS_SQL}, {rank_sql(['cust
 
 def _lexical(spark, d):
     flagged = _flagged(spark, d)
-    ranks = search.ranked_matches(flagged.select("uid", F.concat_ws(" ", "summary", "body").alias("t")), "uid", "t", "customer 7")
-    return search.lexical_candidates(flagged, ranks, 20)
+    index = indexed(spark, d, "cards", lambda: flagged.select(F.col("uid").alias("key"), F.concat_ws(" ", "summary", "body").alias("text")))
+    return search.lexical_candidates(flagged, search.ranked_matches(index, "customer 7").withColumnRenamed("key", "uid"), 20)
 
 
 @register("lexical_merge", LEXICAL_SQL + " SELECT uid, lexical_score, slug_exact, person_exact FROM lexical")

@@ -9,7 +9,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from cardloom.operators import builders, features, graph, links, people, receipts, search
+from cardloom.operators import builders, features, graph, links, people, receipts
 from cardloom.sources import stores
 from test_extraction import packed
 
@@ -126,21 +126,6 @@ def test_receipts_need_their_fields(spark):
     assert receipts.extract(df.limit(0)).count() == 0
 
 
-def test_covers_by_brute_force(spark):
-    rng = random.Random(4)
-    texts = [(i, " ".join(rng.choice("alpha beta gamma delta the".split()) for _ in range(rng.randrange(40)))) for i in range(60)] + [(90, None)]
-    got = {r.k: r.rank for r in search.ranked_matches(spark.createDataFrame(texts, "k long, t string"), "k", "t", "the alpha gammas").collect()}
-    for k, t in texts:
-        words, want = (t or "").split(), 0.0
-        spans = [(i, j) for i in range(len(words)) for j in range(i, len(words)) if {"alpha", "gamma"} <= set(words[i : j + 1])]
-        for i, j in spans:
-            if not any((a, b) != (i, j) and a >= i and b <= j for a, b in spans):
-                hits = sum(w in ("alpha", "gamma") for w in words[i : j + 1])
-                want += 0.1 / (1 + (j - i) - (hits - 1))
-        assert abs(got.get(k, 0.0) - want) < 1e-5 and (k in got) == bool(spans)
-    assert search.ranked_matches(spark.createDataFrame(texts, "k long, t string"), "k", "t", "the of").count() == 0
-
-
 def test_clusters_stop_at_the_cap(spark):
     refs = spark.createDataFrame([(f"h{i}", f"h{i + 1}") for i in range(30)] + [("a", "b"), ("b", "a"), ("b", "c"), ("x", "y")], "source_uid string, target_uid string")
     seeds = spark.createDataFrame([("a",), ("h0",), ("z",)], "uid string")
