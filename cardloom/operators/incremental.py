@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardloom.operators.ranks import folded_digests
+
 
 def manifest_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     """new, changed, unchanged or deleted, by rel_path and content_hash (nulls are equal to nulls)."""
@@ -38,13 +40,15 @@ def smallest_by_hash(rows: DataFrame, group: str, key: str, most: int) -> DataFr
 def assemble_threads(messages: DataFrame, thread: str, turn: str, role: str, text: str) -> DataFrame:
     """A row per thread: how many messages, who speaks, and the digest of the messages' digests in order.
 
-    Messages give their digests before they are brought together, so a long
-    thread's texts never meet in one task.
+    Messages give their digests before they are brought together, and digests
+    meet in blocks (:func:`~cardloom.operators.ranks.folded_digests`), so no
+    row holds a long thread.
     """
     digest = F.sha2(F.concat(F.col(role), F.lit(": "), F.coalesce(F.col(text), F.lit(""))), 256)
-    rows = messages.select(thread, turn, role, digest.alias("d"))
-    told = rows.groupBy(thread).agg(F.count("*").alias("n_messages"), F.array_join(F.array_sort(F.collect_set(role)), ",").alias("roles"), F.array_sort(F.collect_list(F.struct(turn, role, "d"))).alias("m"))
-    return told.select(thread, "n_messages", "roles", F.sha2(F.array_join(F.transform("m", lambda x: x["d"]), "\n"), 256).alias("thread_sha"))
+    rows = messages.select(F.col(thread).alias("_thread"), turn, role, digest.alias("d"))
+    told = rows.groupBy("_thread").agg(F.count("*").alias("n_messages"), F.array_join(F.array_sort(F.collect_set(role)), ",").alias("roles"))
+    folded = folded_digests(rows, ["_thread"], F.col("d"), [turn, role, "d"]).select(F.col("_thread").alias("_t"), F.col("digest").alias("thread_sha"))
+    return told.join(folded, F.col("_thread").eqNullSafe(F.col("_t"))).select(F.col("_thread").alias(thread), "n_messages", "roles", "thread_sha")
 
 
 def purged(rows: DataFrame, gone: DataFrame, key: str = "uid") -> DataFrame:

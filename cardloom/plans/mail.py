@@ -41,57 +41,98 @@ def _(spark, d):
     return chunks.select("uid", "chunk_type", "chunk_index", "content")
 
 
-# receipts: a mail made of each order
-
-_BODY = """CASE o_orderkey % 6 WHEN 0 THEN 'Thanks for riding' || chr(10) || 'Pickup: 1 Main St' || chr(10) || 'Drop-off: ' || o_custkey || ' Side St' || chr(10) || 'Total $' || (10 + o_orderkey % 50) || '.25' || chr(10) || '3.5 miles, 12 min'
- WHEN 1 THEN 'Your order from Corner Bar' || chr(10) || 'Subtotal: $9.00' || chr(10) || 'Total: $' || (5 + o_orderkey % 20) || '.50' WHEN 2 THEN 'Your package is on the way' || chr(10) || 'Tracking number: AB' || (100000000 + o_orderkey) || chr(10) || 'Shipped on: May ' || (1 + o_orderkey % 28)
- WHEN 3 THEN 'eTicket itinerary' || chr(10) || 'Confirmation number: QX' || (1000 + o_orderkey % 9000) || chr(10) || 'SFO to JFK' || chr(10) || 'Fare: $1,200.00' WHEN 4 THEN 'Your reservation is set' || chr(10) || 'Confirmation code: HM' || (100000 + o_orderkey) || chr(10) || 'Check-in: 2024-05-01' || chr(10) || 'Total: $90.00'
- ELSE 'Rental confirmation' || chr(10) || 'Your confirmation number is: K' || (1000000 + o_orderkey) || chr(10) || 'Pickup location: Airport' || chr(10) || 'Total: $55.00' END"""
+# receipts: a mail made of each order and its customer, with a sender's template that changed in 1997
+
+_BODY = """CASE o_orderkey % 6 WHEN 0 THEN CASE WHEN o_custkey % 2 = 0 THEN 'Thanks for riding' || chr(10) || 'Pickup: ' || o_custkey || ' ' || c_mktsegment || ' St' || chr(10) || 'Drop-off: ' || c_name || ' Side St' || chr(10) || 'Total $' || o_totalprice || chr(10) || '3.5 miles, 12 min'
+   ELSE 'Thanks for riding' || chr(10) || '10:05 AM' || chr(10) || o_custkey || ' ' || c_mktsegment || ' St' || chr(10) || '10:31 AM' || chr(10) || c_name || ' Side St' || chr(10) || 'Total' || chr(10) || '$' || o_totalprice END
+ WHEN 1 THEN 'Your order from ' || c_name || chr(10) || CASE WHEN o_custkey % 3 = 0 THEN '' ELSE '2 x ' || c_mktsegment || ' plate $9.50' || chr(10) || '1 x Tea $3.00' || chr(10) END || 'Subtotal: $9.00' || chr(10) || 'Total: $' || o_totalprice
+ WHEN 2 THEN 'Your package is on the way' || chr(10) || 'Tracking number: AB' || (100000000 + o_orderkey) || chr(10) || 'Shipped on: May ' || (1 + o_orderkey % 28)
+ WHEN 3 THEN 'eTicket itinerary' || chr(10) || CASE WHEN o_orderdate < TIMESTAMP '1997-01-01' THEN 'Confirmation number: QX' ELSE 'Confirmation number: NONE12' || chr(10) || 'Booking ref: QX' END || (1000 + o_orderkey % 9000) || chr(10) || upper(substr(c_mktsegment, 1, 3)) || ' to JFK' || chr(10) || 'Fare: $1,200.00'
+ WHEN 4 THEN 'Your reservation is set' || chr(10) || 'Confirmation code: HM' || (100000 + o_orderkey) || chr(10) || 'Check-in: 2024-05-01' || chr(10) || 'Total: $90.00'
+ ELSE 'Rental confirmation' || chr(10) || 'Your confirmation number is: K' || (1000000 + o_orderkey) || chr(10) || 'Pickup location: ' || c_name || ' Airport' || chr(10) || 'Total: $55.00' END"""
 _FROM = "CASE o_orderkey % 6 WHEN 0 THEN 'noreply@uber.com' WHEN 1 THEN 'x@doordash.com' WHEN 2 THEN 'a@ups.com' WHEN 3 THEN 'u@united.com' WHEN 4 THEN 'a@airbnb.com' ELSE 'h@hertz.com' END"
-_SUBJECT = "CASE o_orderkey % 6 WHEN 0 THEN 'Your trip' WHEN 1 THEN 'Receipt' WHEN 2 THEN 'Package shipped' WHEN 3 THEN 'Your trip to JFK' WHEN 4 THEN 'Reservation confirmed: Sea House' ELSE 'Reservation' END"
+_SUBJECT = "CASE o_orderkey % 6 WHEN 0 THEN 'Your trip' WHEN 1 THEN 'Receipt' WHEN 2 THEN 'Package shipped' WHEN 3 THEN 'Your trip to JFK' WHEN 4 THEN 'Reservation confirmed: ' || c_name || ' House' ELSE 'Reservation' END"
+_VERSION = [
+    {"extractor": "united", "since": "1997-01-01", "field": f, "how": how, "place": i, "label": label}
+    for f, how, labels in (("confirmation_code", "code", ("booking ref",)), ("origin_airport", "code", ("route:from",)), ("destination_airport", "code", ("route:to",)), ("fare_amount", "money", ("fare",))) for i, label in enumerate(labels)
+]
 
 
 def _mail(spark, d):
-    return table(spark, d, "orders").selectExpr("o_orderkey", "concat('m-', o_orderkey) AS uid", f"{_FROM} AS from_email", f"{_SUBJECT} AS subject", f"{_BODY} AS body", "'2024-05-02T10:00:00Z' AS sent_at")
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+    return rows.selectExpr("o_orderkey", "concat('m-', o_orderkey) AS uid", f"{_FROM} AS from_email", f"{_SUBJECT} AS subject", f"{_BODY.replace('TIMESTAMP ', 'TIMESTAMP_NTZ ')} AS body", "date_format(o_orderdate, 'yyyy-MM-dd') AS sent_at")
+
+
+def _receipts(spark, d):
+    return receipts.extract(_mail(spark, d), labels=receipts.label_table(spark, _VERSION))
+
 
+_ORDERS = "FROM orders JOIN customer ON o_custkey = c_custkey"
 
-@register("receipt_fields", """SELECT 'm-' || o_orderkey AS uid, (['ride', 'meal_order', 'shipment', 'flight', 'accommodation', 'car_rental'])[(o_orderkey % 6)::INT + 1] AS card_type,
- CASE o_orderkey % 6 WHEN 0 THEN '1 Main St' WHEN 1 THEN 'Corner Bar' WHEN 2 THEN 'UPS' WHEN 3 THEN 'SFO' WHEN 4 THEN 'Sea House' ELSE 'Airport' END AS name, CASE o_orderkey % 6 WHEN 0 THEN o_custkey || ' Side St' WHEN 3 THEN 'JFK' ELSE '' END AS other,
+
+@register("receipt_fields", f"""SELECT 'm-' || o_orderkey AS uid, (['ride', 'meal_order', 'shipment', 'flight', 'accommodation', 'car_rental'])[(o_orderkey % 6)::INT + 1] AS card_type,
+ CASE o_orderkey % 6 WHEN 0 THEN o_custkey || ' ' || c_mktsegment || ' St' WHEN 1 THEN c_name WHEN 2 THEN 'UPS' WHEN 3 THEN upper(c_mktsegment[1:3]) WHEN 4 THEN c_name || ' House' ELSE c_name || ' Airport' END AS name, CASE o_orderkey % 6 WHEN 0 THEN c_name || ' Side St' WHEN 3 THEN 'JFK' ELSE '' END AS other,
  CASE o_orderkey % 6 WHEN 2 THEN 'AB' || (100000000 + o_orderkey) WHEN 3 THEN 'QX' || (1000 + o_orderkey % 9000) WHEN 4 THEN 'HM' || (100000 + o_orderkey) WHEN 5 THEN 'K' || (1000000 + o_orderkey) ELSE '' END AS code,
- CASE o_orderkey % 6 WHEN 0 THEN 10.25 + o_orderkey % 50 WHEN 1 THEN 5.5 + o_orderkey % 20 WHEN 2 THEN 0 WHEN 3 THEN 1200 WHEN 4 THEN 90 ELSE 55 END::DOUBLE AS amount FROM orders""")
+ CASE o_orderkey % 6 WHEN 0 THEN o_totalprice WHEN 1 THEN o_totalprice WHEN 2 THEN 0 WHEN 3 THEN 1200 WHEN 4 THEN 90 ELSE 55 END::DOUBLE AS amount,
+ CASE WHEN o_orderkey % 6 = 1 AND o_custkey % 3 <> 0 THEN '[{{"quantity":2,"name":"' || c_mktsegment || ' plate","price":"$9.50"}},{{"quantity":1,"name":"Tea","price":"$3.00"}}]' ELSE '' END AS items {_ORDERS}""")
 def _(spark, d):
     f = F.col("fields")
     of = lambda *names: F.coalesce(*(F.nullif(F.try_element_at(f, F.lit(n)), F.lit("")) for n in names), F.lit(""))
     ride = F.col("card_type") == "ride"
     name = F.when(ride | (F.col("card_type") == "car_rental"), of("pickup_location")).otherwise(of("restaurant", "carrier", "origin_airport", "property_name"))
     other = F.when(ride, of("dropoff_location")).otherwise(of("destination_airport"))
-    return receipts.extract(_mail(spark, d)).select("uid", "card_type", name.alias("name"), other.alias("other"), of("tracking_number", "confirmation_code").alias("code"), F.coalesce(of("fare", "total", "fare_amount", "total_cost").try_cast("double"), F.lit(0.0)).alias("amount"))
+    return _receipts(spark, d).select("uid", "card_type", name.alias("name"), other.alias("other"), of("tracking_number", "confirmation_code").alias("code"), F.coalesce(of("fare", "total", "fare_amount", "total_cost").try_cast("double"), F.lit(0.0)).alias("amount"), of("items").alias("items"))
 
 
-@register("receipt_uids", "SELECT 'card-ride-' || substr(sha256('uber_rides:m-' || o_orderkey), 1, 12) AS uid FROM orders WHERE o_orderkey % 6 = 0")
+@register("receipt_uids", f"SELECT 'card-ride-' || substr(sha256('uber_rides:m-' || o_orderkey), 1, 12) AS uid {_ORDERS} WHERE o_orderkey % 6 = 0")
 def _(spark, d):
-    found = receipts.extract(_mail(spark, d).filter("o_orderkey % 6 = 0"))
+    found = _receipts(spark, d).filter("card_type = 'ride'")
     return found.select(receipts.derived_uid(F.col("card_type"), F.col("extractor"), F.col("uid")).alias("uid"))
 
 
-@register("field_validation", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'AB12C3' WHEN 2 THEN NULL WHEN 3 THEN 'a-1234' ELSE NULL END AS code, CASE o_orderkey % 4 WHEN 0 THEN 'May' WHEN 1 THEN NULL WHEN 2 THEN '5 pm' ELSE NULL END AS at,
- CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '1 Main St' ELSE NULL END AS place, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '3.5' ELSE NULL END AS total FROM orders""")
+def _airports(spark, d):
+    return table(spark, d, "customer").filter("c_mktsegment like '%A%'").select(F.left("c_mktsegment", F.lit(3)).alias("code")).distinct()
+
+
+def _words(spark, d):
+    return table(spark, d, "part").select(F.substring_index("p_name", " ", 1).alias("word")).distinct()
+
+
+@register("field_validation", """WITH v AS (SELECT c_custkey AS uid, unnest([{'f': 'origin_airport', 'v': upper(c_mktsegment[1:3])}, {'f': 'confirmation_code', 'v': CASE c_custkey % 3 WHEN 0 THEN upper(split_part(p_name, ' ', 1)) WHEN 1 THEN 'QX' || (1000 + c_custkey) ELSE c_name END},
+  {'f': 'pickup_at', 'v': CASE c_custkey % 3 WHEN 0 THEN 'in May' WHEN 1 THEN c_mktsegment ELSE '5 pm' END}, {'f': 'pickup_location', 'v': CASE c_custkey % 3 WHEN 0 THEN c_mktsegment || ':' WHEN 1 THEN c_name ELSE 'https://x/' || c_name END},
+  {'f': 'total', 'v': CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE c_acctbal::VARCHAR END}]) AS x, c_custkey, c_mktsegment, c_acctbal FROM customer JOIN (SELECT min(p_name) AS p_name FROM part) ON true)
+ SELECT uid, x.f AS field, CASE x.f WHEN 'origin_airport' THEN CASE WHEN c_mktsegment NOT LIKE '%A%' THEN 'unknown' END WHEN 'confirmation_code' THEN CASE c_custkey % 3 WHEN 0 THEN 'word' WHEN 2 THEN 'shape' END
+  WHEN 'pickup_at' THEN CASE WHEN c_custkey % 3 = 1 AND c_mktsegment NOT LIKE 'MA%' THEN 'undated' WHEN c_custkey % 3 = 1 THEN 'undated' END WHEN 'pickup_location' THEN CASE WHEN c_custkey % 3 <> 1 THEN 'label' END ELSE CASE WHEN c_custkey % 4 = 0 OR c_acctbal < 0 THEN 'amount' END END AS fault FROM v""")
 def _(spark, d):
-    rows = table(spark, d, "orders").selectExpr("o_orderkey", "case o_orderkey % 5 when 0 then 'confirmed' when 1 then 'AB12C3' when 2 then 'ab' when 3 then 'a-1234' else 'no code' end AS c", "case o_orderkey % 4 when 0 then 'May' when 1 then 'soon' when 2 then '5 pm' end AS t",
-                                                "case o_orderkey % 3 when 0 then 'Location:' when 1 then '1 Main St' else 'see https://x' end AS p", "case o_orderkey % 3 when 0 then '-1' when 1 then '3.5' else 'x' end AS m")
-    kind = F.lit("ride")
-    v = lambda n, c: receipts.validated(kind, n, F.col(c))
-    return rows.select("o_orderkey", v("confirmation_code", "c").alias("code"), v("pickup_at", "t").alias("at"), v("pickup_location", "p").alias("place"), v("total", "m").alias("total"))
+    word = table(spark, d, "part").agg(F.upper(F.substring_index(F.min("p_name"), " ", 1)).alias("w"))
+    rows = table(spark, d, "customer").join(F.broadcast(word)).selectExpr("c_custkey AS uid", "'flight' AS card_type", """inline(array(named_struct('field', 'origin_airport', 'value', upper(left(c_mktsegment, 3))),
+     named_struct('field', 'confirmation_code', 'value', case c_custkey % 3 when 0 then w when 1 then 'QX' || (1000 + c_custkey) else c_name end), named_struct('field', 'pickup_at', 'value', case c_custkey % 3 when 0 then 'in May' when 1 then c_mktsegment else '5 pm' end),
+     named_struct('field', 'pickup_location', 'value', case c_custkey % 3 when 0 then c_mktsegment || ':' when 1 then c_name else 'https://x/' || c_name end), named_struct('field', 'total', 'value', case when c_custkey % 4 = 0 then c_name else string(c_acctbal) end)))""")
+    return receipts.validated(rows, _airports(spark, d), _words(spark, d)).select("uid", "field", "fault")
 
 
-@register("extraction_flags", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'critical_fail:restaurant,heuristic:empty_items,heuristic:url_in_restaurant' ELSE 'heuristic:empty_items' END
- WHEN 1 THEN CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'critical_fail:fare,critical_fail:pickup_location,heuristic:weak_pickup' END ELSE 'critical_fail:check_in,critical_fail:confirmation_code,heuristic:missing_check_in' END AS flags FROM orders""")
+@register("receipt_round_trip", """SELECT c_custkey AS uid, CASE c_custkey % 7 WHEN 3 THEN 'altered' WHEN 5 THEN 'absent' ELSE 'found' END AS verdict, CASE WHEN c_custkey % 7 <> 5 THEN 10 END AS place FROM customer
+ UNION ALL SELECT c_custkey + 1000000000, 'found', 18 + length(c_name) + length(c_mktsegment) FROM customer""")
 def _(spark, d):
-    kind = F.expr("case o_orderkey % 3 when 0 then 'meal_order' when 1 then 'ride' else 'accommodation' end")
-    fields = F.expr("""case o_orderkey % 3 when 0 then map('restaurant', case when o_orderkey % 2 = 0 then 'https://x' else 'Bar None' end, 'total', '5', 'items', '[]')
-     when 1 then map('pickup_location', case when o_orderkey % 2 = 0 then '1 Main St' else 'pickup' end, 'dropoff_location', '2 Side St', 'fare', case when o_orderkey % 2 = 0 then '5' else '' end)
-     else map('property_name', 'Sea House', 'check_out', '2024-01-02', 'confirmation_code', 'x') end""")
-    return table(spark, d, "orders").select("o_orderkey", F.array_join(receipts.quality_flags(kind, fields), ",").alias("flags"))
+    c = table(spark, d, "customer").selectExpr("c_custkey", "c_name", "concat('Order for ', c_name, '\n  of ', c_mktsegment, ' $1,', 100 + c_custkey % 900, '.50') AS body", "1100 + c_custkey % 900 + 0.5 AS n")
+    told = c.selectExpr("c_custkey AS uid", "'meal_order' AS card_type", "'restaurant' AS field", "case c_custkey % 7 when 3 then c_name || 'x' when 5 then 'Zebra Crossing Palace' when 1 then upper(c_name) else c_name || ' of' end AS value")
+    told = told.unionByName(c.selectExpr("c_custkey + 1000000000 AS uid", "'meal_order' AS card_type", "'total' AS field", "string(double(n)) AS value"))
+    mail = c.selectExpr("c_custkey AS uid", "body").unionByName(c.selectExpr("c_custkey + 1000000000 AS uid", "body"))
+    return receipts.round_trip(told, mail).select("uid", "verdict", F.col("place").cast("long").alias("place"))
+
+
+@register("extraction_flags", f"""WITH m AS (SELECT o_orderkey, o_orderkey % 6 AS k, c_mktsegment, o_custkey, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') || '|' || o_totalprice WHEN 1 THEN lower(c_name) || '|' || o_totalprice WHEN 3 THEN (o_orderkey % 9000)::VARCHAR ELSE o_orderkey::VARCHAR END AS key {_ORDERS}),
+ n AS (SELECT *, count(*) OVER (PARTITION BY k, key) AS n FROM m)
+ SELECT 'm-' || o_orderkey AS uid, array_to_string(list_sort(list_filter([CASE WHEN k = 1 AND o_custkey % 3 = 0 THEN 'heuristic:empty_items' END, CASE WHEN k = 3 AND c_mktsegment NOT LIKE '%A%' THEN 'critical_fail:origin_airport' END, CASE WHEN k = 3 THEN 'critical_fail:destination_airport' END,
+  CASE WHEN k = 4 THEN 'critical_fail:check_out' END, CASE WHEN k = 4 THEN 'heuristic:missing_check_out' END, CASE WHEN k = 5 THEN 'critical_fail:pickup_at' END, CASE WHEN n > 1 THEN 'duplicate_suspect' END], lambda x: x IS NOT NULL)), ',') AS flags FROM n""")
+def _(spark, d):
+    cards = _receipts(spark, d)
+    read = receipts.field_rows(cards)
+    mail = _mail(spark, d).select("uid", F.concat_ws("\n", "body", "subject").alias("body"))
+    verdicts = receipts.round_trip(read.filter(~F.col("field").isin("service", "mode", "vendor", "airline", "booking_source", "carrier", "company", "pickup_at")), mail)
+    flags = receipts.quality_flags(cards, receipts.validated(read, _airports(spark, d), _words(spark, d)), verdicts)
+    return flags.withColumn("flags", F.array_join("flags", ","))
 
 
 @register("template_sampler", """WITH m AS (SELECT 'm-' || event_id AS uid, event_type || '.com' AS domain, strftime(ts, '%Y') AS year, row_number() OVER (PARTITION BY event_type, strftime(ts, '%Y') ORDER BY ts, 'm-' || event_id) - 1 AS r, count(*) OVER (PARTITION BY event_type, strftime(ts, '%Y')) AS n FROM events)
@@ -103,7 +144,9 @@ def _(spark, d):
 
 # threads
 
-@register("thread_index", f"WITH {record_sql('email_message')}, m AS (SELECT gmail_thread_id AS thread, sent_at, uid, subject, sha256(uid || chr(10) || body) AS d FROM email_message) SELECT thread, count(*) AS n, min(sent_at) AS first_at, max(sent_at) AS last_at, arg_min(subject, (sent_at, uid)) AS subject, sha256(string_agg(d, chr(10) ORDER BY sent_at, uid)) AS thread_sha FROM m GROUP BY thread")
+@register("thread_index", f"""WITH {record_sql('email_message')}, m AS (SELECT gmail_thread_id AS thread, sent_at, uid, subject, sha256(uid || chr(10) || body) AS d, (row_number() OVER (PARTITION BY gmail_thread_id ORDER BY sent_at, uid) - 1) // 256 AS b FROM email_message),
+ o AS (SELECT thread, b, sha256(string_agg(d, chr(10) ORDER BY sent_at, uid)) AS d FROM m GROUP BY thread, b), f AS (SELECT thread, CASE WHEN max(b) = 0 THEN min(d) ELSE sha256(string_agg(d, chr(10) ORDER BY b)) END AS thread_sha FROM o GROUP BY thread)
+ SELECT thread, count(*) AS n, min(sent_at) AS first_at, max(sent_at) AS last_at, arg_min(subject, (sent_at, uid)) AS subject, any_value(thread_sha) AS thread_sha FROM m JOIN f USING (thread) GROUP BY thread""")
 def _(spark, d):
     return enrichment.thread_index(enrichment.stubs(records(spark, d, "email_message")))
 
@@ -116,33 +159,44 @@ def _(spark, d):
     return enrichment.participant_names(enrichment.stubs(records(spark, d, "email_message")), people)
 
 
-_SENDER = "CASE conv_id % 6 WHEN 0 THEN 'a@shop.com' WHEN 1 THEN 'ann@gmail.com' WHEN 2 THEN 'noreply@x.org' WHEN 3 THEN 'bob@unknown.org' WHEN 4 THEN 'me@own.org' ELSE 'a@uber.com' END"
-_TITLE = "CASE WHEN conv_id % 12 = 0 THEN 'Save 20% today' WHEN conv_id % 5 = 0 THEN 'Out of office' WHEN conv_id % 6 = 5 THEN 'Your ride' ELSE 'Hello' END"
-_PRE_SQL = f"""WITH t AS (SELECT DISTINCT conv_id, {_SENDER} AS sender, {_TITLE} AS subject FROM conversations), p AS (SELECT conv_id, CASE WHEN sender = 'a@shop.com' THEN CASE WHEN subject LIKE 'Save%' THEN 'skip' ELSE 'fast_track' END WHEN subject = 'Out of office' OR sender IN ('noreply@x.org', 'ann@gmail.com', 'me@own.org') THEN 'skip' ELSE 'triage' END AS decision, sender, subject FROM t) """
+_FIRST = "lower(regexp_extract(text, '([A-Za-z]+)', 1))"
+_SENDER = f"CASE WHEN role = 'user' THEN 'u' || conv_id || '@gmail.com' WHEN conv_id % 6 = 5 THEN 'a@uber.com' WHEN conv_id % 11 = 3 THEN 'NoReply@' || {_FIRST} || '.org' ELSE 'a@' || {_FIRST} || '.com' END"
+_TITLE = "CASE WHEN role <> 'user' AND conv_id % 6 = 5 THEN 'Your ride' WHEN conv_id % 13 = 1 THEN 'Re: Undeliverable: ' || substr(text, 1, 20) ELSE substr(text, 1, 20) END"
+_TRADE = ("the", "and", "in", "of", "der", "de")
+_PRE_SQL = f"""WITH m AS (SELECT 't' || conv_id AS thread, conv_id, {_SENDER} AS sender, {_TITLE} AS subject, text, role FROM conversations), s AS (SELECT *, lower(split_part(sender, '@', 2)) AS domain, list_has_any(string_split_regex(lower(subject), '[^\\p{{L}}\\p{{N}}]+'), {list(_TRADE)}) AS ad FROM m),
+ known AS (SELECT DISTINCT {_FIRST} || '.com' AS domain, CASE WHEN length(text) % 2 = 0 THEN 'purchase' ELSE 'grocery_order' END AS card_type FROM conversations WHERE role <> 'user' AND conv_id % 3 = 0), types AS (SELECT domain, list(card_type) AS types FROM known GROUP BY domain),
+ noise AS (SELECT DISTINCT {_FIRST} || '.com' AS domain FROM conversations WHERE conv_id % 17 = 0), r AS (SELECT s.*, types, noise.domain IS NOT NULL OR lower(split_part(sender, '@', 1)) = 'noreply' AS noisy FROM s LEFT JOIN types USING (domain) LEFT JOIN noise USING (domain)),
+ g AS (SELECT thread, bool_or(noisy OR subject LIKE 'Re: Undeliv%') AS noise, bool_or(NOT noisy AND types IS NOT NULL) AS trade, bool_and((noisy OR domain = 'gmail.com') AND NOT (NOT noisy AND types IS NOT NULL)) AS friends, coalesce(bool_and(ad) FILTER (WHERE subject <> ''), false) AS ad,
+  list_sort(list_distinct(flatten(list(types) FILTER (WHERE NOT noisy AND types IS NOT NULL)))) AS types, bool_or(sender = 'a@uber.com') AS ride FROM r GROUP BY thread),
+ p AS (SELECT *, CASE WHEN trade AND ad THEN 'skip' WHEN trade THEN 'fast_track' WHEN noise OR friends THEN 'skip' ELSE 'triage' END AS decision FROM g) """
 
 
 def _threads(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn")
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     return c.selectExpr("concat('t', conv_id) AS thread", "concat(conv_id, '-', turn) AS uid", f"{_SENDER} AS from_email", f"{_TITLE} AS subject", "'total' AS body", "array('') AS participants", "'' AS sent_at")
 
 
-def _known(spark):
-    return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(a).alias("domain"), F.lit(b).alias("card_type")) for a, b in (("shop.com", "purchase"), ("shop.com", "grocery_order"))))))
+def _known(spark, d):
+    return table(spark, d, "conversations").filter("role <> 'user' and conv_id % 3 = 0").selectExpr(f"{_FIRST} || '.com' AS domain", "case when length(text) % 2 = 0 then 'purchase' else 'grocery_order' end AS card_type")
+
+
+def _noise(spark, d):
+    return table(spark, d, "conversations").filter("conv_id % 17 = 0").selectExpr(f"{_FIRST} || '.com' AS domain")
 
 
-def _noise(spark):
-    return spark.range(1).select(F.lit("spam.com").alias("domain"))
+_SIGNS = enrichment.Signs(marketing=_TRADE)
 
 
-@register("prefilter_threads", _PRE_SQL + "SELECT 't' || conv_id AS thread, decision, CASE WHEN decision = 'fast_track' THEN 'grocery_order,purchase' ELSE '' END AS card_types FROM p")
+@register("prefilter_threads", _PRE_SQL + "SELECT thread, decision, CASE WHEN decision = 'fast_track' THEN array_to_string(types, ',') ELSE '' END AS card_types FROM p")
 def _(spark, d):
-    out = enrichment.prefilter(_threads(spark, d), _known(spark), _noise(spark), ("own.org",))
+    out = enrichment.prefilter(_threads(spark, d), _known(spark, d), _noise(spark, d), ("own.org",), _SIGNS)
     return out.withColumn("card_types", F.array_join("card_types", ","))
 
 
-@register("thread_gating", _PRE_SQL + "SELECT 't' || conv_id AS thread, CASE WHEN sender = 'a@uber.com' AND subject = 'Your ride' THEN 'classify_with_types' WHEN sender = 'a@shop.com' THEN CASE WHEN subject LIKE 'Save%' THEN 'skip' ELSE 'classify_with_types' END WHEN decision = 'skip' THEN 'skip' ELSE 'classify' END AS decision, CASE WHEN sender = 'a@uber.com' AND subject = 'Your ride' THEN 'ride' WHEN sender = 'a@shop.com' AND subject NOT LIKE 'Save%' THEN 'grocery_order,purchase' ELSE '' END AS card_types FROM p")
+@register("thread_gating", _PRE_SQL + """, t AS (SELECT *, list_sort(list_distinct(list_concat(CASE WHEN decision = 'fast_track' THEN types ELSE [] END, CASE WHEN ride THEN ['ride'] ELSE [] END))) AS all_types FROM p)
+ SELECT thread, CASE WHEN len(all_types) > 0 AND ad THEN 'skip' WHEN len(all_types) > 0 THEN 'classify_with_types' WHEN decision = 'skip' THEN 'skip' ELSE 'classify' END AS decision, CASE WHEN len(all_types) > 0 AND NOT ad THEN array_to_string(all_types, ',') ELSE '' END AS card_types FROM t""")
 def _(spark, d):
-    out = enrichment.gate(_threads(spark, d), _known(spark), _noise(spark), ("own.org",))
+    out = enrichment.gate(_threads(spark, d), _known(spark, d), _noise(spark, d), ("own.org",), _SIGNS)
     return out.withColumn("card_types", F.array_join("card_types", ","))
 
 
