@@ -2,7 +2,7 @@
 
 import pytest
 
-from cardloom.plans import cards, catalog, extraction, linkers, linking, mail, persons, searching, upkeep  # noqa: F401
+from cardloom.plans import cards, catalog, extraction, linkers, linking, mail, nearness, persons, searching, upkeep  # noqa: F401
 from compare import SF, connect, rows
 
 
