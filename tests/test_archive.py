@@ -103,7 +103,7 @@ def test_people_scores_and_nicknames(spark):
     rows = [("a", "bob", "lee", "bob lee", [], ["b@x.org"], [], [], ["acme"], []), ("b", "robert", "lee", "robert lee", [], ["b@x.org"], [], [], ["acme"], []), ("c", "rita", "lee", "rita lee", [], [], [], [], [], []), ("d", "", "", "", [], [], [], [], [], []), ("e", "bob", "", "bob", [], [], [], ["github:bl"], [], []), ("f", "x", "y", "x y", [], [], [], ["github:bl"], [], [])]
     schema = "uid string, first_name string, last_name string, name string, aliases array<string>, emails array<string>, phones array<string>, handles array<string>, companies array<string>, titles array<string>"
     p = people.with_canonical(spark.createDataFrame(rows, schema), spark.createDataFrame([("bob", "robert")], "nickname string, canonical string"))
-    got = {(r.uid, r.target_uid): r for r in people.scored(people.sides(people.candidate_pairs(p, p), p, p)).collect()}
+    got = {(r.uid, r.target_uid): r for r in people.scored(people.sides(people.candidate_pairs(p, p).union(spark.createDataFrame([("a", "c")], "uid string, target_uid string")), p, p)).collect()}
     assert got["a", "b"].name_score == 95 and got["a", "b"].is_match and got["a", "b"].confidence == 100 and got["a", "b"].is_plausible
     assert not got["a", "c"].is_plausible and not got["a", "c"].is_match  # another first name's initial
     assert got["e", "f"].social and got["e", "f"].confidence == 95 and ("a", "e") in got and not any("d" in k for k in got)
