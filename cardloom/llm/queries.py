@@ -174,4 +174,53 @@ FROM u LEFT JOIN g a ON a.page_id = u.page_id AND a.base AND a.r = 1 LEFT JOIN g
 """
 
 
-ORACLE = {"op1_warc": OP1_SQL, "op5_license_scan": license_sql(), "op6_url_filter": url_sql()}
+TRIE_SQL = """
+WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS place, digest, n_bytes
+  FROM (SELECT conv_id, turn, sha256(length(r)::VARCHAR || ':' || r || x) AS digest, strlen(x) AS n_bytes
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL))),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base,
+  (xor(list_reduce(flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda d: [ascii(d)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+    lambda acc, x: xor((xor(acc, x) >> 1), (3988292384 * (xor(acc, x) & 1))), 4294967295::BIGINT), 4294967295::BIGINT) % 9)::BIGINT AS h FROM o GROUP BY conv_id),
+n AS (SELECT conv_id, count(*) AS n FROM o GROUP BY conv_id),
+g AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS lent FROM c LEFT JOIN n b ON b.conv_id = c.base),
+w AS (SELECT g.conv_id, o.place - g.h + g.lent AS depth, o.digest, o.n_bytes FROM o JOIN g ON o.conv_id = g.conv_id WHERE o.place > g.h
+  UNION ALL SELECT g.conv_id, o.place, o.digest, o.n_bytes FROM o JOIN g ON o.conv_id = g.base WHERE o.place <= g.h),
+k AS (SELECT conv_id, depth, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS key, n_bytes,
+  count(*) OVER (PARTITION BY conv_id) AS last FROM w
+  UNION ALL SELECT g.conv_id, 0, '', 0, (SELECT count(*) FROM w WHERE w.conv_id = g.conv_id) FROM g),
+m AS (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n_bytes) AS n_bytes,
+  coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = last), '') AS ends FROM k GROUP BY depth, key),
+p AS (SELECT m.*, (SELECT count(*) FROM m x WHERE x.depth = m.depth + 1 AND starts_with(x.key, m.key)) AS n_children FROM m)
+SELECT a.conv_id, a.depth::BIGINT AS depth, any_value(q.conv_id) AS parent_conv_id, a.n_convs, a.n_children,
+  count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.n_bytes)::BIGINT AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM p a JOIN p b ON b.depth >= a.depth AND starts_with(b.key, a.key)
+LEFT JOIN m q ON q.depth = a.depth - 1 AND q.key = substr(a.key, 1, 64 * (a.depth - 1)::BIGINT)
+GROUP BY a.key, a.conv_id, a.depth, a.n_convs, a.n_children, a.ends
+"""
+
+
+def codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    nearest = lambda books: (
+        "SELECT vec_id, label, part, x, min(struct_pack(d := d, entry := entry)) AS best FROM (SELECT v.*, b.entry, "
+        f"list_sum(list_transform(range(1, len(x) + 1), lambda i: (v.x[i] - b.c[i]) * (v.x[i] - b.c[i])))::BIGINT AS d FROM v JOIN {books} b USING (part)) GROUP BY ALL"
+    )
+    steps = "".join(
+        f"""a{k} AS MATERIALIZED ({nearest(f'b{k}')}),
+m{k} AS (SELECT part, best.entry AS entry, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{k}, range(1, (SELECT max(len(x)) + 1 FROM v)) t(i) GROUP BY ALL),
+n{k} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM m{k} GROUP BY part, entry),
+b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(n{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN n{k} USING (part, entry)),
+""" for k in range(rounds))
+    return f"""
+WITH t AS (SELECT vec_id, label, list_transform(embedding, lambda y: floor(256 * y::DOUBLE)::BIGINT) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+v AS MATERIALIZED (SELECT vec_id, label, part, w[part * len(w) // {parts} + 1 : (part + 1) * len(w) // {parts}] AS x FROM t, range({parts}) r(part)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM v QUALIFY entry < {entries}),
+{steps}f AS ({nearest(f'b{rounds}')}),
+e AS (SELECT vec_id, label, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM f GROUP BY vec_id, label)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(list_aggregate(c::VARCHAR[], 'string_agg', ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+FROM e
+"""
+
+
+ORACLE = {"op1_warc": OP1_SQL, "op5_license_scan": license_sql(), "op6_url_filter": url_sql(), "op11_prefix_trie": TRIE_SQL, "op12_vector_codes": codes_sql()}
