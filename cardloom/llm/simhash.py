@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from cardloom.llm.common import fresh, materialize, released, small_batches
 from cardloom.llm.components import connected_components
 from cardloom.llm.lm import scramble
-from cardloom.llm.prefix import all_pairs, first_pairs, prefix_keys
+from cardloom.llm.prefix import Texts, all_pairs, first_pairs, prefix_keys
 
 SEED = 42
 #: Generator polynomials of the two codes (fixed values).
@@ -253,11 +253,11 @@ def _similar(similarity: float):
     return released(run)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (x, y) of ids of ``rows`` (id, text) whose sets of shingles are alike to ``similarity``."""
+def verified(pairs: DataFrame, texts: Texts, words: int, similarity: float) -> DataFrame:
+    """The pairs (x, y) of ids of ``texts`` whose sets of shingles are alike to ``similarity``; only their sets leave the scan."""
     wanted = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
-    sets = rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_shingle_sets(words), "id long, shingles binary")
-    sets = materialize(sets, "shingles")
+    sets = texts.among(wanted, _shingle_sets(words), "id long, shingles binary")
+    sets = materialize(sets.dropDuplicates(["id"]), "shingles")
     a = sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx"))
     b = sets.select(F.col("id").alias("y"), F.col("shingles").alias("sy"))
     return pairs.join(a, "x").join(b, "y").select("x", "y", "sx", "sy").mapInArrow(_similar(similarity), "x long, y long")
@@ -289,8 +289,8 @@ def similar_documents(
     marked = materialize(rows.mapInArrow(_distinct_words(seeds), schema), "distinct-words")
     texts = marked.groupBy("same", *fps).agg(F.min("id").alias("first"))
     texts = materialize(texts.select("same", *fps, F.col("first").cast("long").alias("id"), F.col("first").cast("long").alias("class")), "texts")
-    by_id = rows.select(F.col("id").cast("long").alias("id"), "text")
-    by_id = by_id.join(marked.select(F.col("id").cast("long").alias("id")).join(texts, "id", "left_anti").distinct(), "id", "left_anti")
+    copies = materialize(marked.select(F.col("id").cast("long").alias("id")).join(texts, "id", "left_anti").distinct(), "copies")
+    by_id = Texts.without(rows.select(F.col("id").cast("long").alias("id"), "text"), copies)
     met = prefix_keys(by_id, shingles, words, similarity)
     by_simhash = lambda texts: reduce(DataFrame.unionByName, (
         leader_pairs(texts.select(F.col(fp).alias("fp"), "id", "class", *fps), threshold, order, total) for fp in fps for order in (lambda i: i, F.xxhash64)
