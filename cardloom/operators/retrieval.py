@@ -17,8 +17,8 @@ def and_match(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFra
 
 
 def rerank_score(query: Column, text: Column) -> Column:
-    """Half the share of the query's tokens that the text holds, half their Jaccard index; tokens of one letter don't count."""
-    tokens = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9_]+"), lambda w: F.length(w) > 1))
+    """Half the share of the query's tokens that the text holds, half their Jaccard index; tokens, of any script, of one letter don't count."""
+    tokens = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 1))
     q, t = tokens(query), tokens(text)
     both = F.size(F.array_intersect(q, t))
     return F.round(F.least(F.lit(1.0), 0.5 * both / F.greatest(F.size(q), F.lit(1)) + 0.5 * both / F.greatest(F.size(F.array_union(q, t)), F.lit(1))), 6)

@@ -190,7 +190,7 @@ def _(spark, d):
     return retrieval.and_match(table(spark, d, "documents"), "doc_id", "text", TERMS)
 
 
-@register("rerank_heuristic", """WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda w: length(w) > 1)) AS t, ['the', 'that', 'idiot', 'zz'] AS q FROM documents),
+@register("rerank_heuristic", """WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: length(w) > 1)) AS t, ['the', 'that', 'idiot', 'zz'] AS q FROM documents),
 b AS (SELECT doc_id, len(list_intersect(q, t)) AS n_both, len(q) AS nq, len(t) AS nt FROM t) SELECT doc_id, round(least(1.0, 0.5 * n_both / nq + 0.5 * n_both / (nq + nt - n_both)), 6)::DOUBLE AS score FROM b""")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", retrieval.rerank_score(F.lit("the that idiot zz a"), F.col("text")).alias("score"))

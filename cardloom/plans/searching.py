@@ -148,10 +148,13 @@ LEXICAL_SQL = f"""WITH {record_sql(*_FLAG_CARDS)}, {FLAGS_SQL}, {rank_sql(['cust
  lexical AS (SELECT * FROM best ORDER BY slug_exact + summary_exact + external_id_exact + person_exact DESC, lexical_score DESC, activity_at ASC NULLS FIRST, rel_path LIMIT 40)"""
 
 
+def card_index(spark, d):
+    texts = lambda: records(spark, d, *_FLAG_CARDS).select(F.col("uid").alias("key"), F.concat_ws(" ", F.col("fields")["summary"], F.col("body")).alias("text"))
+    return indexed(spark, d, "cards", texts)
+
+
 def _lexical(spark, d):
-    flagged = _flagged(spark, d)
-    index = indexed(spark, d, "cards", lambda: flagged.select(F.col("uid").alias("key"), F.concat_ws(" ", "summary", "body").alias("text")))
-    return search.lexical_candidates(flagged, search.ranked_matches(index, "customer 7").withColumnRenamed("key", "uid"), 20)
+    return search.lexical_candidates(_flagged(spark, d), search.ranked_matches(card_index(spark, d), "customer 7").withColumnRenamed("key", "uid"), 20)
 
 
 @register("lexical_merge", LEXICAL_SQL + " SELECT uid, lexical_score, slug_exact, person_exact FROM lexical")

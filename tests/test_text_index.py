@@ -114,3 +114,10 @@ def test_covers_by_brute_force(spark):
     want = scan(texts, "alpha gamma")
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in got)
     assert search.ranked_matches(index, "the of").count() == 0
+
+
+@pytest.mark.parametrize("query,text,want", [("größe запрос", "Запрос zur Größe", 0.5 + 0.5 * 2 / 3), ("日本 語学", "日本の語学", 0.0), ("日本 語学", "日本 語学", 1.0), ("a é", "a é", 0.0), ("the_that x1", "X1, the_that!", 1.0)])
+def test_rerank_score_reads_any_script(spark, query, text, want):
+    from cardloom.operators.retrieval import rerank_score
+
+    assert abs(spark.createDataFrame([(query, text)], "q string, t string").select(rerank_score(F.col("q"), F.col("t"))).first()[0] - want) < 1e-5
