@@ -109,7 +109,7 @@ def _count(range_bits: int):
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """A range's rows as one: the counts of equal n-grams are added up."""
+    """A range's rows as one: the counts of equal n-grams are added up, in 64 bits, and packed as their levels."""
     parts = [unpack(x.as_py()) for x in table.column("packed")]
     hashes, where = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
     counts = np.bincount(where, np.concatenate([c for _, c in parts]), minlength=len(hashes)).astype(np.int64)
@@ -117,7 +117,7 @@ def _merge(table: pa.Table) -> pa.Table:
     held = np.bincount(np.minimum(levels, 40), minlength=41)
     return pa.table({
         "range": pa.array([table.column("range")[0].as_py()], pa.int32()),
-        "packed": pa.array([pack(hashes, np.minimum(counts, 2**32 - 1))], pa.binary()), "levels": pa.array([held.tolist()], pa.list_(pa.int64())),
+        "packed": pa.array([pack(hashes, levels)], pa.binary()), "levels": pa.array([held.tolist()], pa.list_(pa.int64())),
     })
 
 
@@ -135,16 +135,15 @@ def _fill(range_bits: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                low, counts = unpack(packed)
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([stretch(r, low, counts, range_bits, bits)], pa.binary())], names=["range", "part"])
+                low, levels = unpack(packed)
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([stretch(r, low, levels, range_bits, bits)], pa.binary())], names=["range", "part"])
 
     return released(run)
 
 
-def stretch(r: int, low: np.ndarray, counts: np.ndarray, range_bits: int, bits: int) -> bytes:
+def stretch(r: int, low: np.ndarray, levels: np.ndarray, range_bits: int, bits: int) -> bytes:
     size = 1 << (bits - range_bits)
     part = np.zeros(size, bool)
-    levels = np.floor(np.log2(counts)).astype(np.int64) + 1
     # between the range's bits and the low 40 ones, blocks are told by a hash of the low ones
     hashes = spread(np.uint64(r), low, range_bits)
     for level in range(1, int(levels.max(initial=0)) + 1):
