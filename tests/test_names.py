@@ -87,3 +87,13 @@ def test_sweep_by_brute_force(spark):
         if rank[r.target_uid] < rank[r.uid] and (r.uid == own and r.target_uid == other or r.target_uid == own):
             want[r.uid, r.target_uid] = (r.confidence, "merge" if r.confidence >= 90 else "flag")
     assert {k: v for k, v in want.items() if k not in got} == {} and got == want and len(want) > 20
+
+
+def test_links_of_classes_are_those_of_all_pairs(spark):
+    """Every pair with one last name counts, whatever the first names; no pair is made for it."""
+    p = people.with_canonical(spark.createDataFrame(crowd(random.Random(7), 200), PERSON), spark.createDataFrame([("bob", "robert")], "nickname string, canonical string"))
+    rows = {r.uid: r for r in p.collect()}
+    linked = lambda a, b: a.last_name == b.last_name if a.last_name and b.last_name else a.canonical == b.canonical != ""
+    got = {r.uid: r for r in people.block_links(p).collect()}
+    assert {u: r.n_links for u, r in got.items()} == {u: sum(linked(a, b) for v, b in rows.items() if v != u) for u, a in rows.items()}
+    assert all(r.class_uid == min(v for v, o in got.items() if (o.last_name, o.canonical) == (r.last_name, r.canonical)) for r in got.values())
