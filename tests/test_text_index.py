@@ -121,3 +121,10 @@ def test_rerank_score_reads_any_script(spark, query, text, want):
     from cardloom.operators.retrieval import rerank_score
 
     assert abs(spark.createDataFrame([(query, text)], "q string, t string").select(rerank_score(F.col("q"), F.col("t"))).first()[0] - want) < 1e-5
+
+
+def test_every_text_has_token_counts(spark):
+    """Texts without a word have a row too, and words count by their stems."""
+    texts = [("a", "Runs running the walked walks"), ("b", ""), ("c", None), ("d", "the of ..."), ("e", "größe Größe flies")]
+    got = {r.key: tuple(r)[1:] for r in textindex.token_counts(spark.createDataFrame(texts, "key string, text string")).collect()}
+    assert got == {"a": (4, 4, 4, 3), "b": (0, 0, 0, 0), "c": (0, 0, 0, 0), "d": (0, 0, 0, 0), "e": (3, 2, 5, 3)}
