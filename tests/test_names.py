@@ -97,3 +97,17 @@ def test_links_of_classes_are_those_of_all_pairs(spark):
     got = {r.uid: r for r in people.block_links(p).collect()}
     assert {u: r.n_links for u, r in got.items()} == {u: sum(linked(a, b) for v, b in rows.items() if v != u) for u, a in rows.items()}
     assert all(r.class_uid == min(v for v, o in got.items() if (o.last_name, o.canonical) == (r.last_name, r.canonical)) for r in got.values())
+
+
+def test_shared_identifiers_are_classes_of_all_pairs(spark):
+    """Cards and persons of one address, expanded, are the pairs that share it; a row each, however many they are."""
+    from cardloom.operators import links
+
+    rng = random.Random(11)
+    rows = lambda p, n: spark.createDataFrame([(f"{p}{rng.randrange(n)}", "exact_email", f"m{rng.randrange(9)}") for _ in range(2 * n)] + [(f"{p}x", "exact_email", f"only-{p}")], "uid string, kind string, value string")
+    cards, persons = rows("c", 40).cache(), rows("p", 30).cache()
+    got = links.identifier_classes(cards, persons).collect()
+    of = lambda side: [(r.uid, r.value, r.n_links) for r in got if r.side == side]
+    pairs = {(c, p, v) for c, v, _ in of("card") for p, w, _ in of("person") if v == w}
+    assert {(c, p) for c, p, _ in pairs} == {(r.uid, r.target_uid) for r in links.person_matches(cards, persons).collect()}
+    assert all(n == sum(x[0] == u and x[2] == v for x in pairs) for u, v, n in of("card")) and all(n == sum(x[1] == u and x[2] == v for x in pairs) for u, v, n in of("person"))
