@@ -153,3 +153,14 @@ def test_relationship_maps(spark):
     df = spark.createDataFrame([card("person", 1, people="[[a]]", orgs="[x, y]", number="7", parent_shas="[p, p, q]")], CARD)
     one = df.select(F.to_json(features.external_ids_map(F.col("fields"))).alias("e"), F.to_json(features.relationships_map(F.col("fields"))).alias("r")).first()
     assert json.loads(one.e) == {"github_thread_number": ["7"], "github_commit": ["p", "q"]} and json.loads(one.r) == {"people": ["[[a]]"], "orgs": ["x", "y"]}
+
+
+def test_far_merchants_need_no_matcher(spark):
+    """The matcher is given only pairs that edit distance leaves, and the verdict is the same as with it alone."""
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abc ") for _ in range(rng.randrange(9))).strip() for _ in range(60)]
+    df = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string").withColumn("m", links.merchants_match(F.col("a"), F.col("b")))
+    assert "levenshtein" in df._jdf.queryExecution().optimizedPlan().toString()
+    for r in df.collect():
+        a, b = sorted((r.a, r.b), key=len)
+        assert r.m == (bool(a and b) and (a == b or len(a) >= 4 and a in b or difflib.SequenceMatcher(None, r.a, r.b).ratio() >= 0.7)), r
