@@ -111,3 +111,24 @@ def test_shared_identifiers_are_classes_of_all_pairs(spark):
     pairs = {(c, p, v) for c, v, _ in of("card") for p, w, _ in of("person") if v == w}
     assert {(c, p) for c, p, _ in pairs} == {(r.uid, r.target_uid) for r in links.person_matches(cards, persons).collect()}
     assert all(n == sum(x[0] == u and x[2] == v for x in pairs) for u, v, n in of("card")) and all(n == sum(x[1] == u and x[2] == v for x in pairs) for u, v, n in of("person"))
+
+
+def test_repeated_letters_lose_no_pair(spark):
+    """A letter taken out before a second "he" numbers it anew; long names meet by pairs of letters, shorter ones by what is left."""
+    rng = random.Random(2)
+    long = [" ".join("".join(rng.choice("ehnt") for _ in range(rng.randrange(2, 7))) for _ in range(7)) for _ in range(60)]
+    changed = [n[:i] + rng.choice(["", "e", "he"]) + n[i + 2 :] for n in long for i in (1, len(n) // 2, len(n) - 3)]
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "name string")
+    left, right = ["he the", *long], ["h the", *changed]
+    got = {(r.a, r.b): round(r.score, 6) for r in names.similar_names(frame(left), frame(right)).collect()}
+    assert got == brute(left, right, 90) and ("he the", "h the") in got and len(got) > 100
+
+
+def test_numbered_names_meet_only_near_ones(spark):
+    """Names that differ by digits alone: who meets is in proportion to who is alike, not all pairs."""
+    words = spark.range(2_000).select(F.format_string("%09d customer", F.col("id") * 7).alias("w"), F.array(F.lit(0), F.lit(1)).alias("sides"))
+    lengths = spark.createDataFrame([(18, 18, 17)], "la int, lb int, m int")
+    met = {(r.a, r.b) for r in names._met_by_rest(words, lengths, 90).collect()}
+    told = words.select(F.col("w").alias("name"))
+    alike = {(r.a, r.b) for r in names.similar_names(told, told).filter("a <> b").collect()}
+    assert alike <= met and 1_000 < len(alike) and len(met) < 1.5 * len(alike)
