@@ -33,3 +33,26 @@ def test_persons_met_are_not_grouped(spark):
     rows = met.collect()
     assert "Aggregate" not in _after_joins(met) and "Join Inner" in met._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.source_uid, r.target_uid) for r in rows) == [(f"m{i}", f"p{j}") for i in range(4) for j in range(5)] and {r.risk for r in rows} == {0.12}
+
+
+def test_events_met_once_by_all_pairs(spark):
+    """Hints, a day's titles and places against all pairs; a pair that several rules or words name comes once, no pair is grouped after the joins."""
+    rng = random.Random(6)
+    words = ["plan", "team", "meet", "x", "y"]
+
+    def card(i, kind):
+        title = " ".join(rng.sample(words, rng.randrange(1, 4)))
+        own = {"event_id": f"e{i}", "ical_uid": f"c{i}"} if kind == "calendar_event" else {"event_id_hint": f"e{rng.randrange(40)}"}
+        return f"{kind}{i}", "", "", kind, {"title": title, "start_at": f"2024-01-0{rng.randrange(1, 4)}T10:00:00Z", "location": rng.choice(["", "Room", "Hall"]), **own}, ""
+
+    rows = [card(i, k) for k in ("meeting_transcript", "calendar_event") for i in range(40)]
+    s = links.sketch(spark.createDataFrame(rows, "uid string, rel_path string, slug string, type string, fields map<string, string>, body string"))
+    met = links.met_events(links._side(s.filter("type = 'meeting_transcript'"), "s", {}), links.event_side(s.filter("type = 'calendar_event'"), {}))
+    want = []
+    for u, _, _, _, a, _ in rows[:40]:
+        for v, _, _, _, b, _ in rows[40:]:
+            x, y = set(a["title"].split()), set(b["title"].split())
+            day = a["start_at"] == b["start_at"]
+            if a["event_id_hint"] == b["event_id"] or day and (round(len(x & y) / len(x | y), 4) >= 0.6 or a["location"] == b["location"] != ""):
+                want.append((u, v))
+    assert sorted((r.s_uid, r.e_uid) for r in met.collect()) == sorted(want) and len(want) > 100
