@@ -132,3 +132,21 @@ def test_numbered_names_meet_only_near_ones(spark):
     told = words.select(F.col("w").alias("name"))
     alike = {(r.a, r.b) for r in names.similar_names(told, told).filter("a <> b").collect()}
     assert alike <= met and 1_000 < len(alike) and len(met) < 1.5 * len(alike)
+
+
+def test_ratios_of_a_batch_are_those_of_difflib():
+    from cardloom.operators.identity import ratios
+
+    rng = random.Random(13)
+    text = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    a = [text(rng.choice((0, 1, 7, 18, 40, 127, 128, 210)), rng.choice(("ab", "0123456789", "é漢x😀 "))) for _ in range(1_500)]
+    b = ["".join(c for c in x if rng.random() > 0.1) + text(rng.randrange(3), "ab0x") if rng.random() < 0.8 else text(rng.randrange(30), "ab0x") for x in a]
+    assert ratios(a, b).tolist() == [100 * difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)]
+    assert ratios([], []).tolist() == []
+
+
+def test_a_filter_by_the_score_compares_no_pair_twice(spark):
+    p = people.with_canonical(spark.createDataFrame(crowd(random.Random(5), 20), PERSON), spark.createDataFrame([("bob", "robert")], "nickname string, canonical string"))
+    every = p.select("uid").crossJoin(p.select(F.col("uid").alias("target_uid")))
+    plan = people.scored(people.sides(every, p, p)).filter("is_match and confidence >= 75")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("token_sort_ratio(a_name") == 1
