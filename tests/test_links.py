@@ -56,3 +56,31 @@ def test_events_met_once_by_all_pairs(spark):
             if a["event_id_hint"] == b["event_id"] or day and (round(len(x & y) / len(x | y), 4) >= 0.6 or a["location"] == b["location"] != ""):
                 want.append((u, v))
     assert sorted((r.s_uid, r.e_uid) for r in met.collect()) == sorted(want) and len(want) > 100
+
+
+def test_meetings_by_brute_force(spark):
+    """Whole seconds count: 15 minutes and nine tenths apart lie in blocks that 900 seconds don't join; a pair comes once, under its first tier."""
+    import datetime
+    import random
+
+    from cardloom.operators import matching
+
+    rng, start = random.Random(4), datetime.datetime(2024, 1, 1, 23, 0)
+    some = lambda: rng.choice([None, [], [None, "p0"], rng.sample([f"p{i}" for i in range(30)], rng.randrange(1, 25)), rng.sample([f"p{i}" for i in range(30)], 3)])
+    rows = lambda n, at: [(f"{at}{i}", rng.choice([None, "", *(f"k{j}" for j in range(40))]), rng.choice([None, "", "talk 0", "talk 1", "talk 2"]), rng.choice([None, *(start + datetime.timedelta(seconds=rng.randrange(9_000)) for _ in range(9))]), some()) for i in range(n)]
+    t, e = rows(60, "t"), rows(60, "e")
+    t.append(("t-edge", None, "talk 1", datetime.datetime(2024, 1, 2, 0, 14, 59, 900_000), None))
+    e.append(("e-edge", None, "talk 1", datetime.datetime(2024, 1, 2, 0, 30, 0, 800_000), None))
+    want = {}
+    for x in t:
+        for y in e:
+            apart = int(abs((x[3] - y[3]).total_seconds())) if x[3] and y[3] else None
+            if x[1] and x[1] == y[1]:
+                want[x[0], y[0]] = "ical_uid"
+            elif x[2] and x[2] != "talk 0" and x[2] == y[2] and apart is not None and apart <= 900:
+                want[x[0], y[0]] = "title_time"
+            elif apart is not None and apart <= 3600 and x[3].date() == y[3].date() and len({*(x[4] or ())} & {*(y[4] or ())} - {None}) >= 2:
+                want[x[0], y[0]] = "participant_time"
+    schema = "uid string, ical_uid string, title string, start_at timestamp_ntz, participants array<string>"
+    got = [(r.transcript_uid, r.event_uid, r.tier) for r in matching.meeting_artifacts(spark.createDataFrame(t, schema), spark.createDataFrame(e, schema), ["talk 0"]).collect()]
+    assert ("t-edge", "e-edge", "title_time") in got and {(a, b): n for a, b, n in got} == want and len(got) == len(want) and len({*want.values()}) == 3
