@@ -84,3 +84,13 @@ def test_meetings_by_brute_force(spark):
     schema = "uid string, ical_uid string, title string, start_at timestamp_ntz, participants array<string>"
     got = [(r.transcript_uid, r.event_uid, r.tier) for r in matching.meeting_artifacts(spark.createDataFrame(t, schema), spark.createDataFrame(e, schema), ["talk 0"]).collect()]
     assert ("t-edge", "e-edge", "title_time") in got and {(a, b): n for a, b, n in got} == want and len(got) == len(want) and len({*want.values()}) == 3
+
+
+def test_persons_of_photos_are_a_row_each(spark):
+    """A person's aliases come from the person's own row: nothing is grouped by person; an alias that is told twice links once."""
+    cards = spark.createDataFrame([("ph", "", "", "media_asset", {"person_labels": "[Ann Lee, Bo]", "summary": "x", "captured_at": "2024-01-01T10:00:00Z"}, "")]
+                                  + [(f"p{i}", f"People/p{i}.md", f"p{i}", "person", {"summary": n, "first_name": "Ann", "aliases": a}, "") for i, (n, a) in enumerate([("Ann Lee", "[ann lee, Bo]"), ("Cy", "[bo]"), ("Di", "")])],
+                                  "uid string, rel_path string, slug string, type string, fields map<string, string>, body string")
+    made = links.media_candidates(cards)
+    assert sorted((r.source_uid, r.target_uid, r.risk) for r in made.collect()) == [("ph", "p0", 0.3), ("ph", "p1", 0.3)]
+    assert "collect_set" not in made._jdf.queryExecution().optimizedPlan().toString()
