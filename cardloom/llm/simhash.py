@@ -162,12 +162,22 @@ def near_pairs(nodes: DataFrame, threshold: int = 4, total: int | None = None) -
     return homes.join(search, (homes["anchor"] == search["anchor"]) & wanted).select(F.col("id_x").alias("x"), F.col("id_y").alias("y")).distinct()
 
 
-def leader_pairs(nodes: DataFrame, threshold: int, order, total: int | None = None) -> DataFrame:
-    """Pairs of each node with the first one, by ``order``, at its home anchors, if near as in :func:`near_pairs`."""
-    homes = _at_anchors(nodes, None, "y")
-    one = F.struct(*(f"{c}_x" for c in nodes.columns))
-    leaders = _at_anchors(nodes, None, "x").groupBy("anchor").agg(F.min_by(one, order(F.col("id_x"))).alias("l")).select("anchor", "l.*")
-    pairs = homes.join(leaders, (homes["anchor"] == leaders["anchor"]) & _wanted(nodes, threshold, total))
+def leader_pairs(nodes: DataFrame, fps: list[str], threshold: int, total: int | None = None) -> DataFrame:
+    """Pairs of each of ``nodes`` (id, class and ``fps``) with two at each of its home anchors, the first by id and by its hash, if near as in :func:`near_pairs`.
+
+    The anchors of all ``fps`` go through one join: a plan for each would leave
+    the driver with many times the stages and tasks to keep.
+    """
+    each = F.explode(F.array(*(F.struct(F.col(f).alias("fp"), F.lit(k).alias("which")) for k, f in enumerate(fps)))).alias("e")
+    rows = nodes.select("id", "class", *fps, each).select("e.fp", "id", "class", *fps, "e.which")
+    rows = rows.mapInArrow(_anchors(None), T.StructType([T.StructField("anchor", T.IntegerType()), *rows.schema.fields]))
+    rows = rows.withColumn("anchor", F.col("anchor").bitwiseOR(F.shiftleft("which", 17))).drop("which")
+    own = [c for c in rows.columns if c != "anchor"]
+    homes = rows.select("anchor", *(F.col(c).alias(f"{c}_y") for c in own))
+    one = F.struct(*(F.col(c).alias(f"{c}_x") for c in own))
+    leaders = rows.groupBy("anchor").agg(*(F.min_by(one, by).alias(a) for a, by in (("l", F.col("id")), ("h", F.xxhash64("id")))))
+    leaders = leaders.select(F.col("anchor").alias("at"), F.inline(F.array("l", "h")))
+    pairs = homes.join(leaders, (homes["anchor"] == leaders["at"]) & _wanted(rows.drop("anchor"), threshold, total))
     return pairs.select(F.least("id_x", "id_y").alias("x"), F.greatest("id_x", "id_y").alias("y")).distinct()
 
 
@@ -292,9 +302,7 @@ def similar_documents(
     copies = materialize(marked.select(F.col("id").cast("long").alias("id")).join(texts, "id", "left_anti").distinct(), "copies")
     by_id = Texts.without(rows.select(F.col("id").cast("long").alias("id"), "text"), copies)
     met = prefix_keys(by_id, shingles, words, similarity)
-    by_simhash = lambda texts: reduce(DataFrame.unionByName, (
-        leader_pairs(texts.select(F.col(fp).alias("fp"), "id", "class", *fps), threshold, order, total) for fp in fps for order in (lambda i: i, F.xxhash64)
-    ))
+    by_simhash = lambda texts: leader_pairs(texts, fps, threshold, total)
     by_prefix = lambda pairs: lambda texts: pairs(met.join(texts.select("id", "class"), "id"), similarity)
     links = None
     # members of a large group link to a leader first, a pair each; then only pairs of different classes are left
