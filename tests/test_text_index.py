@@ -128,3 +128,23 @@ def test_every_text_has_token_counts(spark):
     texts = [("a", "Runs running the walked walks"), ("b", ""), ("c", None), ("d", "the of ..."), ("e", "größe Größe flies")]
     got = {r.key: tuple(r)[1:] for r in textindex.token_counts(spark.createDataFrame(texts, "key string, text string")).collect()}
     assert got == {"a": (4, 4, 4, 3), "b": (0, 0, 0, 0), "c": (0, 0, 0, 0), "d": (0, 0, 0, 0), "e": (3, 2, 5, 3)}
+
+
+def test_postings_are_made_once_and_dealt_once(spark, tmp_path):
+    """A sample for ranges made them twice, and a join with the stems shuffled them once more."""
+    texts = spark.createDataFrame([(i, "the running hops of a text " + "hopping " * (i % 3)) for i in range(30)], "key long, text string")
+    plan = textindex.tokens(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    held = textindex.tokens(texts).mapInArrow(count, "lexeme string, key string, positions array<int>")
+    index = textindex.TextIndex(spark, str(tmp_path / "index"))
+    index._write(held, 0)
+    rows = index._postings().select("lexeme", "key", "positions").collect()
+    assert seen.value == len(rows) == 30 * 3 + 20 and {r.lexeme for r in rows} == {"run", "hop", "text"}
+    assert {tuple(r.positions) for r in rows if r.key == "2" and r.lexeme == "hop"} == {(2,), (6, 7)}
