@@ -83,3 +83,17 @@ def test_upkeep_takes_only_what_is_new(spark, tmp_path):
     assert sorted(map(tuple, maintain.current(spark, f"{home}/t", ["k"], ["v"]).collect())) == [("a", 2, "new"), ("b", 1, None)]
     maintain.compact(spark, f"{home}/t", f"{home}/t2", ["k"], ["v"])
     assert maintain.current(spark, f"{home}/t2", ["k"], ["v"]).count() == 2
+
+
+def test_keys_of_persons_are_dealt_before_they_are_expanded(spark):
+    """One task held and sorted the keys of all persons of a file."""
+    from cardloom.operators import features
+
+    fields = F.create_map(F.lit("summary"), F.concat(F.lit("Ann  B"), F.col("id").cast("string")), F.lit("emails"), F.concat(F.lit("[A"), F.col("id").cast("string"), F.lit("@x.org, all@x.org]")))
+    cards = spark.range(400).coalesce(1).select(F.concat(F.lit("u"), "id").alias("uid"), F.concat(F.lit("P/"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("rel_path"), F.concat(F.lit("s"), "id").alias("slug"), F.lit("person").alias("type"), fields.alias("fields"), F.lit("").alias("body"))
+    lookup = features.person_lookup(cards)
+    got = {r.key: r.uid for r in lookup.collect()}
+    assert len(got) == 3 * 400 + 1 and got["all@x.org"] == "u399" and got["ann-b7"] == got["a7@x.org"] == got["s7"] == "u7"
+    plan = lookup._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = lambda what: next(i for i, line in enumerate(plan) if what in line)
+    assert at("Aggregate") < at("Generate") < at("RepartitionByExpression")
