@@ -153,13 +153,14 @@ def near_pairs(nodes: DataFrame, threshold: int = 4, total: int | None = None) -
     """Distinct pairs (x, y), x < y, of the ids of ``nodes`` (fp, id, class, further fingerprints: long) within ``threshold`` bits.
 
     Pairs of one class are left out, and those whose further fingerprints
-    differ in more than ``total`` bits together.
+    differ in more than ``total`` bits together. Neither side is broadcast:
+    Spark takes a fingerprint's copies at its anchors, dozens, for one row.
     """
     if threshold // 2 > 3:
         raise ValueError("thresholds of 0 to 7 bits are covered")
     homes, search = _at_anchors(nodes, None, "x"), _at_anchors(nodes, threshold, "y")
     wanted = _wanted(nodes, threshold, total) & (F.col("id_x") < F.col("id_y"))
-    return homes.join(search, (homes["anchor"] == search["anchor"]) & wanted).select(F.col("id_x").alias("x"), F.col("id_y").alias("y")).distinct()
+    return homes.join(search.hint("shuffle_merge"), (homes["anchor"] == search["anchor"]) & wanted).select(F.col("id_x").alias("x"), F.col("id_y").alias("y")).distinct()
 
 
 def leader_pairs(nodes: DataFrame, fps: list[str], threshold: int, total: int | None = None) -> DataFrame:
@@ -177,7 +178,7 @@ def leader_pairs(nodes: DataFrame, fps: list[str], threshold: int, total: int |
     one = F.struct(*(F.col(c).alias(f"{c}_x") for c in own))
     leaders = rows.groupBy("anchor").agg(*(F.min_by(one, by).alias(a) for a, by in (("l", F.col("id")), ("h", F.xxhash64("id")))))
     leaders = leaders.select(F.col("anchor").alias("at"), F.inline(F.array("l", "h")))
-    pairs = homes.join(leaders, (homes["anchor"] == leaders["at"]) & _wanted(rows.drop("anchor"), threshold, total))
+    pairs = homes.join(leaders.hint("shuffle_merge"), (homes["anchor"] == leaders["at"]) & _wanted(rows.drop("anchor"), threshold, total))
     return pairs.select(F.least("id_x", "id_y").alias("x"), F.greatest("id_x", "id_y").alias("y")).distinct()
 
 

@@ -242,3 +242,10 @@ def test_leaders_of_all_fingerprints_meet_in_one_join(spark):
     assert got <= near and {i for p in got for i in p} == {i for p in near for i in p}
     # a plan for each fingerprint and order had sixteen scans with Python, and the driver kept the stages of all
     assert pairs._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= 2
+
+
+def test_no_side_of_the_anchors_is_broadcast(spark):
+    """A few fingerprints are dozens of rows each at their anchors, which Spark doesn't foresee."""
+    nodes = spark.range(500).select(F.xxhash64("id").alias("fp"), "id", F.col("id").alias("class"))
+    for pairs in (simhash.near_pairs(nodes, 4), simhash.leader_pairs(nodes.withColumnRenamed("fp", "fp0"), ["fp0"], 3, 24)):
+        assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
