@@ -9,6 +9,7 @@ import string
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
@@ -49,7 +50,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     that read the result see the same rows.
     """
     path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    with short_plans(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -131,15 +133,27 @@ def nonempty(words: Column) -> Column:
 BATCH_ROWS = 1_000
 
 
-#: Characters of a plan's description that Spark keeps for each query that it has run.
+def small_batches(spark: SparkSession) -> None:
+    """Have Arrow batches hold no more than :data:`BATCH_ROWS` rows, so that less is held at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+#: Characters of a plan's description that Spark keeps for each table that is written on the way.
 PLAN_CHARS = 4_096
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Have Arrow batches hold no more than :data:`BATCH_ROWS` rows, and the driver no more than :data:`PLAN_CHARS` of a plan's description, so that less is held at once."""
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.maxPlanStringLength", PLAN_CHARS)):
-        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
-            spark.conf.set(name, str(most))
+@contextmanager
+def short_plans(spark: SparkSession) -> Iterator[None]:
+    """Have the driver keep no more than :data:`PLAN_CHARS` of the description of plans that run inside; the session's own length holds again afterwards."""
+    name = "spark.sql.maxPlanStringLength"
+    own = spark.conf.get(name)
+    spark.conf.set(name, str(PLAN_CHARS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
 
 
 def stretches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:

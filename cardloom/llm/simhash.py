@@ -320,11 +320,25 @@ def similar_documents(
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its component by :func:`similar_documents`.
+    """One document of each component by :func:`similar_documents`: that of the smallest id, one without an id only where no other has one.
 
-    Rows with a null id stay; repeated rows of a kept id stay too.
+    Rows of one id and text are one document, all of whose rows stay or go.
+    Rows of one id and different texts, and each row without an id, are
+    documents of their own: where there are any, all rows are written once
+    with a number, by which they are linked.
     """
-    classes = similar_documents(df, id_col, text_col, **parameters)
-    gone = fresh(df, "gone_id")
-    dropped = classes.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
-    return df.join(dropped, df[id_col] == dropped[gone], "left_anti")
+    odd = df.groupBy(id_col).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(id_col).isNull())
+    if odd.isEmpty():
+        classes = similar_documents(df, id_col, text_col, **parameters)
+        gone = fresh(df, "gone_id")
+        dropped = classes.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
+        return df.join(dropped, df[id_col] == dropped[gone], "left_anti")
+    own = fresh(df, "row_number")
+    rows = materialize(df.withColumn(own, F.monotonically_increasing_id()), "numbered")
+    classes = similar_documents(rows.select(own, text_col), own, text_col, **parameters)
+    told = rows.select(F.col(own).alias("node"), F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("told")).alias("document"))
+    told = told.join(classes.select(F.col(own).alias("node"), "component_id"), "node")
+    best = told.groupBy("component_id").agg(F.min(F.struct("document", "node")).alias("best"))
+    stays = (F.col("node") == F.col("best.node")) | (~F.col("document.nameless") & (F.col("document") == F.col("best.document")))
+    dropped = told.join(best, "component_id").filter(~stays).select(F.col("node").alias(own))
+    return rows.join(dropped, own, "left_anti").drop(own)

@@ -164,6 +164,38 @@ def test_similar_documents_miss_no_pair(spark):
     assert set(pairs) <= {(r.y, r.x) for r in prefix.all_pairs(keys, 0.8).collect()}
 
 
+def test_rows_without_an_id_of_their_own_are_compared(spark):
+    """Rows without an id, and rows of one id with different texts, are documents: copies among them go, others stay."""
+    word = lambda p, n=60: " ".join(f"{p}{i}" for i in range(n))
+    a, b, c, d, e = (word(p) for p in "abcde")
+    rows = [(7, a, 0), (None, a.upper(), 1), (None, b, 2), (None, b + " more", 3), (5, c, 4), (5, a, 5), (5, a, 6), (9, c, 7), (3, d, 8), (3, e, 9), (2, d, 10), (8, e + " more", 11), (None, word("f"), 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3)
+    kept = sorted(r.row for r in simhash.keep_one(df).collect())
+    assert [k for k in kept if k not in (2, 3)] == [4, 5, 6, 9, 10, 12] and len({2, 3} & set(kept)) == 1
+
+
+def test_sketches_lose_no_pair_and_drop_unlike_ones(spark):
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 2**63, int(n)).astype(np.uint64)) for n in rng.integers(1, 200, 200)]
+    changed = [np.unique(np.concatenate([h[: int(len(h) * rng.random())], rng.integers(0, 2**63, int(rng.integers(0, 40))).astype(np.uint64), h[-1:]])) for h in sets]
+    bits = lambda h: np.unpackbits(prefix.sketch(h).view(np.uint8))
+    assert all((bits(x) != bits(y)).sum() <= len(np.setxor1d(x, y)) for x, y in zip(sets, changed))
+    # near copies of one text, each with two words of its own: 86 of 96 shingles are the group's, yet two members are hardly alike to 0.7
+    base = [f"w{i}" for i in range(100)]
+    members = [[f"v{i}" if k in (5 + i, 50 + i * 7 % 40) else w for k, w in enumerate(base)] for i in range(40)]
+    keys = prefix.prefix_keys(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(members)], "id long, text string"), simhash.shingles, 5, 0.8).withColumn("class", F.col("id"))
+    own = [{tuple(t[k : k + 5]) for k in range(96)} for t in members]
+    alike = {(x, y) for y in range(40) for x in range(y) if len(own[x] & own[y]) >= 0.8 * len(own[x] | own[y])}
+    met = {(r.x, r.y) for r in prefix.all_pairs(keys, 0.8).collect()}
+    assert alike <= met and len(met) < len(alike) + 40
+
+
+def test_plans_are_described_in_full_again(spark):
+    own = spark.conf.get("spark.sql.maxPlanStringLength")
+    assert simhash.keep_one(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).count() == 1
+    assert spark.conf.get("spark.sql.maxPlanStringLength") == own
+
+
 def test_toxicity_learns(spark):
     rows_ = [(i, f"some words {i * 7919 % 1000} here {'you idiot' if i % 4 == 0 else 'you friend'} and more", "", int(i % 4 == 0)) for i in range(200)]
     df = spark.createDataFrame(rows_, DOCS + ", toxic int")
