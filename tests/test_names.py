@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cardloom.operators import names, people
 from cardloom.plans import catalog, persons  # noqa: F401
-from compare import SF
+from compare import SF, connect, rows
 
 PERSON = "uid string, first_name string, last_name string, name string, aliases array<string>, emails array<string>, phones array<string>, handles array<string>, companies array<string>, titles array<string>"
 
@@ -99,6 +99,21 @@ def test_links_of_classes_are_those_of_all_pairs(spark):
     assert all(r.class_uid == min(v for v, o in got.items() if (o.last_name, o.canonical) == (r.last_name, r.canonical)) for r in got.values())
 
 
+def test_every_pair_of_a_block_is_listed_once(spark):
+    p = people.with_canonical(spark.createDataFrame(crowd(random.Random(7), 200), PERSON), spark.createDataFrame([("bob", "robert")], "nickname string, canonical string"))
+    rows = p.collect()
+    linked = lambda a, b: a.last_name == b.last_name if a.last_name and b.last_name else a.canonical == b.canonical != ""
+    want = sorted((a.uid, b.uid) for a in rows for b in rows if a.uid != b.uid and linked(a, b))
+    for many in (1_000, 7):
+        assert sorted((r.uid, r.target_uid) for r in people.block_pairs(p, many).collect()) == want
+
+
+def test_the_query_lists_pairs(spark):
+    got = catalog.QUERIES["person_blocks"](spark, SF)
+    own, want = rows(got.toPandas()), rows(connect().sql(catalog.ORACLE["person_blocks"]).df())
+    assert own == want and len(own[1]) > 5_000
+
+
 def test_shared_identifiers_are_classes_of_all_pairs(spark):
     """Cards and persons of one address, expanded, are the pairs that share it; a row each, however many they are."""
     from cardloom.operators import links
