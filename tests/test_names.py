@@ -149,6 +149,15 @@ def test_numbered_names_meet_only_near_ones(spark):
     assert alike <= met and 1_000 < len(alike) and len(met) < 1.5 * len(alike)
 
 
+def test_what_is_left_of_names_is_not_broadcast(spark):
+    """A few names leave hundreds of rows each, which Spark doesn't foresee; only the lengths are sent to all."""
+    words = spark.range(50).select(F.format_string("%026d customer", F.col("id") * 7).alias("w"), F.array(F.lit(0), F.lit(1)).alias("sides"))
+    lengths = spark.createDataFrame([(35, 35, 32)], "la int, lb int, m int")
+    for met in (names._met_by_rest(words, lengths, 90), names._met_by_grams(words, lengths, 90)):
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and all("len#" in x or "la#" in x for x in plan.splitlines() if "BroadcastHashJoin" in x)
+
+
 def test_ratios_of_a_batch_are_those_of_difflib():
     from cardloom.operators.identity import ratios
 
