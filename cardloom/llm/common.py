@@ -62,6 +62,11 @@ def discard(spark: SparkSession, *folders: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def folders(table: DataFrame) -> set[str]:
+    """Where the files of ``table`` lie that :func:`materialize` wrote."""
+    return {f.rpartition("/")[0] for f in table.inputFiles()}
+
+
 def finite(vector: Column) -> Column:
     """True for a vector that isn't null and holds neither nulls nor NaN or infinite components."""
     return vector.isNotNull() & F.coalesce(F.forall(vector, lambda x: x - x == 0), F.lit(False))

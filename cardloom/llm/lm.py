@@ -12,7 +12,8 @@ are interpolated.
 The filter grows with the corpus and lies in the shared folder, by range. It
 is broadcast in slices of at most 64 MB, one after the other: a filter of more
 than one slice takes a pass over the texts for each, which notes the levels of
-those n-grams whose ranges the slice holds.
+those n-grams whose ranges the slice holds. A pass writes texts and levels
+anew, and the table of the pass before is deleted, so passes take no disk.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardloom.llm.common import ascii_lower, fresh, materialize, nonempty, released, small_batches, stretches
+from cardloom.llm.common import ascii_lower, discard, folders, fresh, materialize, nonempty, released, small_batches, stretches
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 BLOCK_BITS = 12
@@ -251,6 +252,7 @@ def fit(train: DataFrame, text_col: str = "text", weight: float = 0.7, bits_per_
     bits = max(int(np.ceil(np.log2(max(keys * bits_per_key, 1)))), range_bits + BLOCK_BITS)
     slice_bits = max(min(bits, max_bits), bits - range_bits)  # a slice holds whole ranges
     parts = materialize(merged.select("range", "packed").mapInArrow(_fill(range_bits, bits), "range int, part binary"), "filter")
+    discard(spark, *folders(merged))
     end = spark.range(1 if rows else 0).select(F.lit(int(END)).alias("h"), F.lit(rows).cast("long").alias("c"))
     model = LanguageModel(
         bits, slice_bits, range_bits, int(total + rows), int(rows), int(distinct + bool(rows)),
@@ -275,7 +277,7 @@ def _slice(fitted: FittedModel, number: int) -> Slice:
 
 
 def _note(at: int, shared):
-    """Adds a slice's levels to those in the column after ``at``: a byte for each word of a row, and one for each pair."""
+    """Adds a slice's levels to those in the column after the tokens, which are in column ``at`` and go: a byte for each word of a row, and one for each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
@@ -287,7 +289,7 @@ def _note(at: int, shared):
                 for a, b, old in zip([0, *stops[:-1].tolist()], stops.tolist(), batch.column(at + 1)):
                     new = np.concatenate([x[a:b] for x in both])
                     noted.append((new | np.frombuffer(old.as_py(), np.uint8) if len(old.as_buffer()) else new).tobytes())
-                yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], pa.array(noted, pa.binary())], names=batch.schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(noted, pa.binary())], names=[*batch.schema.names[:at], batch.schema.names[at + 1]])
 
     return released(run)
 
@@ -353,18 +355,25 @@ def score(df: DataFrame, fitted: FittedModel, text_col: str = "text") -> DataFra
     small_batches(df.sparkSession)
     outputs = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
     kept = df.drop(text_col, "train_tokens", *(n for n, _ in outputs))
-    listed = df.select(*(df[c] for c in kept.columns), tokens(F.col(text_col)).alias(fresh(kept, "tokens_of_text")))
+    tokens_col = fresh(kept, "tokens_of_text")
+    listed = df.select(*(df[c] for c in kept.columns), tokens(F.col(text_col)).alias(tokens_col))
     rest_col, row_col = fresh(kept, "rest"), fresh(kept, "row")
     schema = T.StructType([*kept.schema.fields, *(T.StructField(n, t) for n, t in outputs), T.StructField(rest_col, T.ArrayType(T.LongType()))])
     context = df.sparkSession.sparkContext
     if m.slices == 1:
         shared = context.broadcast(_slice(fitted, 0))
     else:
-        listed = listed.withColumn(fresh(listed, "levels_of_text"), F.lit(b""))
+        # texts go along, not their tokens, which take several times the room; a pass's table goes when the next one is written
+        own, levels_col = fresh(kept, "text_itself"), fresh(kept, "levels_of_text")
+        noted = df.select(*(df[c] for c in kept.columns), F.col(text_col).cast("string").alias(own), F.lit(b"").alias(levels_col))
+        told = lambda rows: rows.select(*(f"`{c}`" for c in (*kept.columns, own)), tokens(F.col(own)).alias(tokens_col), levels_col)
         for number in range(m.slices):
-            held = context.broadcast(_slice(fitted, number))
-            listed = materialize(listed.mapInArrow(_note(len(kept.columns), held), listed.schema), "levels")
+            held, before = context.broadcast(_slice(fitted, number)), noted
+            noted = materialize(told(before).mapInArrow(_note(len(kept.columns) + 1, held), before.schema), "levels")
             held.destroy()
+            if number:
+                discard(df.sparkSession, *folders(before))
+        listed = told(noted).drop(own)
         shared = context.broadcast(m)
     first = listed.mapInArrow(_score(len(kept.columns), shared, rest_col), schema).withColumn(row_col, F.monotonically_increasing_id())
     first = materialize(first, "scores")  # row numbers hold from here on

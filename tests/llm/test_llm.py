@@ -242,6 +242,20 @@ def test_language_model_score_at_any_size(spark, max_bits, slices):
     assert np.allclose([got[i] for i in want], list(want.values()))
 
 
+def test_passes_keep_one_table_at_a_time(spark):
+    """A table of levels a pass, written with texts, not tokens; those of earlier passes are deleted."""
+    from pathlib import Path
+
+    from cardloom.llm.common import shared_dir
+
+    df = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 4001}" for k in range(60))) for i in range(120)], "doc_id long, text string")
+    tables = lambda label: set(Path(shared_dir(spark).removeprefix("file:")).glob(f"{label}-*"))
+    old = {label: tables(label) for label in ("levels", "ngrams")}
+    fitted = lm.fit(df, bits_per_key=64, max_bits=13)
+    assert fitted.model.slices >= 8 and lm.score(df, fitted).count() == 120
+    assert len(tables("levels") - old["levels"]) == 1 and tables("ngrams") <= old["ngrams"]
+
+
 def test_decontamination(spark, docs):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
     swapped = item.replace("zeta", "ZZ").replace("xi", "QQ")
